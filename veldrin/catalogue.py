@@ -6,5 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .operators.shred import children, entities, entity_table, shred
+from .plans.staging import table
+
+
+def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency table of the audit records."""
+    return shred(table(spark, sf_dir, "raw"), "raw_id", ["question", "request", "result"], ["question.state"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return children(raw_nodes(spark, sf_dir), "raw_id", ["question.criteria", "request.messages", "result.probabilities"], ["question.state"])
+
+
+def p4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_nodes(spark, sf_dir)
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(raw_nodes(spark, sf_dir), "raw_id")
+
+
+def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_table(raw_nodes(spark, sf_dir), "raw_id", "request.messages.[]", {"role": "string", "content": "string"})
+
+
+def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_table(raw_nodes(spark, sf_dir), "raw_id", "result", {"type": "string", "label": "string", "confidence": "double", "input_tokens": "int", "latency_ms": "double"})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_nodes": p4_nodes,
+    "p4_entities": p4_entities,
+    "p4_messages": p4_messages,
+    "p4_results": p4_results,
+}
 ORACLE_SQL: dict[str, str] = {}
