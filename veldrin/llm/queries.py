@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.staging import table
+from .format_duplicates import copy_counts, format_copies
+from .leaks import leaked_items
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from .tokens import encoded
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +19,33 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "eval_ja"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_copies(table(spark, sf_dir, "eval_ja"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_counts(table(spark, sf_dir, "eval_ja"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_evidence(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_counts": p2_counts,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_evidence": p7_evidence,
 }
 ORACLE_SQL: dict[str, str] = {}
