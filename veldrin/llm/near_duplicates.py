@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold_codes, likeness, mix, pieces, to_codes, to_texts
+from ..functions.folding import fold_codes, likeness, mix, piece_keys, pieces, to_codes, to_texts
 from ..plans.staging import stage
 
 REGISTERS = 64
@@ -64,9 +64,7 @@ def folded_records(df: DataFrame, id_col: str, required: str, others: Sequence[s
 
 
 def _elements(texts: list[str]) -> np.ndarray:
-    """Distinct pieces of each text of a block as sorted keys: text number in the upper bits, 50 bits of hash below."""
-    p, row = pieces(*to_codes(texts))
-    return np.unique(row.astype(_U) << _U(50) | mix(p) >> _U(14))
+    return piece_keys(*pieces(*to_codes(texts)))
 
 
 def piece_weights(texts: DataFrame) -> np.ndarray:
