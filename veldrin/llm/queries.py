@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.staging import table
 from .format_duplicates import copy_counts, format_copies
 from .leaks import leaked_items
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from .split_overlap import overlap_report, overlapping
 from .tokens import encoded
 
 
@@ -27,6 +29,16 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_counts(table(spark, sf_dir, "eval_ja"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = overlapping(table(spark, sf_dir, "eval_ja"))
+    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "eval_ja")
+    return overlap_report(overlapping(cases), cases)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,8 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_evidence": p7_evidence,
