@@ -9,6 +9,7 @@ from ..plans.staging import table
 from .format_duplicates import copy_counts, format_copies
 from .leaks import leaked_items
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from .selection import select_percentiles, sorted_runs
 from .split_overlap import overlap_report, overlapping
 from .tokens import encoded
 
@@ -39,6 +40,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(overlapping(cases), cases)
 
 
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "run_acceptance")
+    dimensions = {"type": F.col("type"), "source": F.col("source"), "engine": F.col("engine"), "day": F.date_format("started_at", "yyyy-MM-dd")}
+    return select_percentiles(sorted_runs(answers, dimensions, ["wall_ms", "input_tokens"]), [500, 900, 950, 990])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
@@ -58,8 +65,25 @@ QUERIES = {
     "p2_counts": p2_counts,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p5_percentiles": p5_percentiles,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_evidence": p7_evidence,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p5_percentiles": """
+        WITH longer AS (
+            SELECT u.dimension, u.grp, m.metric, m.v
+            FROM run_acceptance,
+                LATERAL (VALUES ('type', type), ('source', source), ('engine', engine), ('day', strftime(started_at, '%Y-%m-%d'))) u(dimension, grp),
+                LATERAL (VALUES ('wall_ms', wall_ms), ('input_tokens', CAST(input_tokens AS DOUBLE))) m(metric, v)
+            WHERE m.v IS NOT NULL AND NOT isnan(m.v)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY dimension, grp, metric ORDER BY v) AS rn, count(*) OVER (PARTITION BY dimension, grp, metric) AS n
+            FROM longer
+        )
+        SELECT dimension, grp, metric, CAST(p AS INTEGER) AS permille, n, v AS value
+        FROM ranked, (VALUES (500), (900), (950), (990)) q(p)
+        WHERE rn = greatest((n * p + 999) // 1000, 1)
+    """,
+}
