@@ -12,6 +12,7 @@ from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .selection import select_percentiles, sorted_runs
 from .split_overlap import overlap_report, overlapping
 from .tokens import encoded
+from .truncation import truncated, truncation_rates
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,14 @@ def p7_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_rates(truncated(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -69,6 +78,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_evidence": p7_evidence,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 ORACLE_SQL: dict[str, str] = {
     "p5_percentiles": """
