@@ -5,12 +5,19 @@ Logits, probabilities and keys are arrays that match by position. Null or empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIGITS_UP_TO = 10
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though the body, or a lambda in it, uses it often."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -22,18 +29,18 @@ def doubles(values: Column) -> Column:
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     """Stable softmax of ``logits / temperature``."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    exps = F.transform(logits, lambda z: F.exp((z - F.array_max(logits)) / t))
-    return F.when(F.size(logits) > 0, F.transform(exps, lambda e: e / total(exps)))
+    parts = lambda exps: let(total(exps), lambda s: F.transform(exps, lambda e: e / s))
+    whole = lambda z: let(F.array_max(z), lambda top: let(F.transform(z, lambda x: F.exp((x - top) / t)), parts))
+    return let(logits, lambda z: F.when(F.size(z) > 0, whole(z)))
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.ln(total(F.transform(logits, lambda z: F.exp(z - top))))
+    return let(logits, lambda z: let(F.array_max(z), lambda top: top + F.ln(total(F.transform(z, lambda x: F.exp(x - top))))))
 
 
 def argmax(values: Column) -> Column:
     """Position, from 0, of the first largest value."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def at(values: Column, position: Column) -> Column:
@@ -75,8 +82,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def rms_normalised(h: Column, least: float = 1e-6) -> Column:
     """``h`` divided by the root of its mean square, which counts as ``least`` at least."""
-    scale = F.greatest(F.sqrt(dot(h, h) / F.size(h)), F.lit(least))
-    return F.transform(h, lambda x: x / scale)
+    return let(F.greatest(F.sqrt(dot(h, h) / F.size(h)), F.lit(least)), lambda scale: F.transform(h, lambda x: x / scale))
 
 
 def total_variation(p: Column, q: Column) -> Column:

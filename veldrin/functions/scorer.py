@@ -11,9 +11,10 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
+from .folding import mix, pieces, to_codes
+
 
 class Scorer(Protocol):
     def score(self, prompts: Sequence[str], candidates: Sequence[Sequence[str]]) -> list[list[float]]: ...
@@ -26,15 +27,22 @@ class HashScorer:
     def __init__(self, width: int = 256, scale: float = 10.0):
         self.width, self.scale = width, scale
 
-    def _vector(self, text: str) -> np.ndarray:
-        v = np.zeros(self.width)
-        for i in range(max(len(text) - 2, 1)):
-            h = xxhash.xxh3_64_intdigest(text[i : i + 3].encode("utf-8", "surrogatepass"))
-            v[h % self.width] += 1 if h >> 63 else -1
-        return v / max(float(np.sqrt(v @ v)), 1e-9)
+    def _vectors(self, texts: Sequence[str]) -> np.ndarray:
+        packed, row = pieces(*to_codes(texts))
+        h = mix(packed)
+        place = row * self.width + (h % np.uint64(self.width)).astype(np.int64)
+        v = np.bincount(place, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * self.width).reshape(len(texts), self.width)
+        return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
 
     def score(self, prompts: Sequence[str], candidates: Sequence[Sequence[str]]) -> list[list[float]]:
-        return [[round(self.scale * float(self._vector(p) @ self._vector(c)), 6) for c in own] for p, own in zip(prompts, candidates)]
+        out: list[list[float]] = []
+        for at in range(0, len(prompts), 500):
+            own = candidates[at : at + 500]
+            sizes = np.array([len(c) for c in own], np.int64)
+            shown = self._vectors([x for c in own for x in c])
+            logits = self.scale * (np.repeat(self._vectors(prompts[at : at + 500]), sizes, axis=0) * shown).sum(axis=1)
+            out.extend(x.tolist() for x in np.split(np.round(logits, 6), np.cumsum(sizes)[:-1]))
+        return out
 
 
 def with_logits(df: DataFrame, scorer: Scorer, prompt: str, candidates: str, id_col: str = "id") -> DataFrame:

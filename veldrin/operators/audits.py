@@ -53,10 +53,17 @@ def protected_overlap(new: DataFrame, protected: DataFrame, keys: Sequence[str])
     return marked.withColumn("shared", hits).drop(*(f"_{k}" for k in keys)).where(F.size("shared") > 0)
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct character trigrams of a text whose digit runs are masked."""
-    c = F.split(F.regexp_replace(text, "[0-9０-９]+", "N"), "")
-    return F.when(F.size(c) >= 3, F.array_distinct(F.zip_with(F.zip_with(F.slice(c, 1, F.size(c) - 2), F.slice(c, 2, F.size(c) - 2), lambda x, y: F.concat(x, y)), F.slice(c, 3, F.size(c) - 2), lambda x, y: F.concat(x, y)))).otherwise(F.array().cast("array<string>"))
+def with_trigrams(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the distinct character trigrams of a text whose digit runs are masked, each packed into one number.
+
+    The characters are a column of their own on the way, so that they are made once.
+    """
+    c, n = F.col("_chars"), F.size("_chars")
+    pair = lambda x, y: F.shiftleft(x, 21) + y
+    two = F.zip_with(F.slice(c, 1, n - 2), F.slice(c, 2, n - 2), pair)
+    grams = F.when(n >= 3, F.array_distinct(F.zip_with(two, F.slice(c, 3, n - 2), pair))).otherwise(F.array().cast("array<bigint>"))
+    chars = F.transform(F.split(F.regexp_replace(F.col(text), "[0-9０-９]+", "N"), ""), lambda x: F.ascii(x).cast("long"))
+    return df.withColumn("_chars", chars).withColumn(name, grams).drop("_chars")
 
 
 def nearest_protected(new: DataFrame, new_id: str, new_text: str, protected: DataFrame, protected_id: str, protected_text: str) -> DataFrame:
@@ -65,9 +72,10 @@ def nearest_protected(new: DataFrame, new_id: str, new_text: str, protected: Dat
     Shared trigrams are found by an equality join on the trigram, so only pairs that share one are counted; the
     protected side is the small one. Ties go to the smaller id.
     """
-    a = new.select(F.col(new_id).alias("a"), trigrams(F.col(new_text)).alias("t")).withColumn("na", F.size("t"))
-    b = protected.select(F.col(protected_id).alias("b"), trigrams(F.col(protected_text)).alias("t")).withColumn("nb", F.size("t"))
-    shared = a.select("a", "na", F.explode("t").alias("g")).join(b.select("b", "nb", F.explode("t").alias("g")), "g").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("s"))
+    a = with_trigrams(new.select(F.col(new_id).alias("a"), F.col(new_text).alias("_text")), "_text", "t").withColumn("na", F.size("t"))
+    b = with_trigrams(protected.select(F.col(protected_id).alias("b"), F.col(protected_text).alias("_text")), "_text", "t").withColumn("nb", F.size("t"))
+    # the outer form, for the inner one is preceded by a filter that makes all trigrams once more
+    shared = a.select("a", "na", F.explode_outer("t").alias("g")).join(b.select("b", "nb", F.explode_outer("t").alias("g")), "g").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("s"))
     likeness = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
     best = shared.withColumn("likeness", likeness).groupBy("a").agg(F.min(F.struct((-F.col("likeness")).alias("m"), "b")).alias("top"))
     return best.select(F.col("a").alias(new_id), F.col("top.b").alias(protected_id), F.round(-F.col("top.m"), 6).alias("likeness"))

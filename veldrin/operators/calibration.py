@@ -22,8 +22,8 @@ def grid_nll(scored: DataFrame, temperatures: list[float], floor: float = 1e-300
     values = F.array(*(F.lit(t) for t in temperatures))
 
     def loss(t: Column) -> Column:
-        scaled = F.transform("z", lambda z: z / t)
-        return F.least(D.log_sum_exp(scaled) - D.at(scaled, F.col("gold")), F.lit(-F.ln(F.lit(floor)) if floor else float("inf")))
+        most = -F.ln(F.lit(floor)) if floor else F.lit(float("inf"))
+        return D.let(F.transform("z", lambda z: z / t), lambda y: F.least(D.log_sum_exp(y) - D.at(y, F.col("gold")), most))
 
     each = rows.select(F.posexplode(F.transform(values, loss)).alias("idx", "nll"))
     summed = each.groupBy("idx").agg(F.count("nll").alias("n"), F.avg("nll").alias("nll"))

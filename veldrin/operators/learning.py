@@ -1,9 +1,10 @@
 """A linear correction of candidate logits, trained on rows ``(x, z, gold)`` by full-batch AdamW.
 
-``x`` are features, ``z`` the frozen base logits, ``gold`` the position of the right candidate. Every epoch is one
+``x`` are features, ``z`` the frozen base logits, ``gold`` the position of the right candidate, ``dev`` marks the rows
+that the result is chosen by. Every epoch is one
 Spark job that sums the gradient over all rows; only the sums, candidates times features, come to the driver. The
 penalty is on the correction alone, gradients are clipped, and the epoch of least loss on the dev rows is kept, the
-start (no correction) included, so the result is never worse there. Rows with a null in any of the three stay out.
+start (no correction) included, so the result is never worse there. Rows with a null in any of them stay out.
 """
 
 from __future__ import annotations
@@ -31,55 +32,58 @@ class Head:
     epoch: int = 0
 
 
-def _sums(rows: DataFrame, w: np.ndarray, b: np.ndarray, gradient: bool) -> tuple[np.ndarray, float, int]:
-    """Sums over all rows: gradient by weights and biases (one more column), loss and count."""
-    k, h = w.shape
+def _sums(rows: DataFrame, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each trial's weights (the last column are the biases): the gradient summed over training rows, and the loss
+    summed over dev rows; and how many rows of either there are."""
+    trials, k, h = thetas.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, h + 1))
-        loss, n = 0.0, 0
+        total, loss, n = np.zeros((trials, k, h)), np.zeros(trials), np.zeros(2)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, z = (np.asarray(batch.column(i).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1) for i in (0, 1))
-            gold = batch.column(2).to_numpy()
-            logits = z + x @ w.T + b
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            loss += float(-np.log(np.maximum(p[np.arange(len(gold)), gold], 1e-300)).sum())
-            n += len(gold)
-            if gradient:
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            gold, dev = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            n += (~dev).sum(), dev.sum()
+            for i, theta in enumerate(thetas):
+                logits = z + x @ theta.T
+                logits -= logits.max(axis=1, keepdims=True)
+                p = np.exp(logits)
+                p /= p.sum(axis=1, keepdims=True)
+                loss[i] -= np.log(np.maximum(p[np.arange(len(gold)), gold], 1e-300))[dev].sum()
                 p[np.arange(len(gold)), gold] -= 1
-                total += np.concatenate([p.T @ x, p.sum(axis=0)[:, None]], axis=1)
-        values = np.concatenate([total.ravel() if gradient else np.zeros(0), [loss, n]])
+                total[i] += p[~dev].T @ x[~dev]
+        values = np.concatenate([total.ravel(), loss, n])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["i", "v"])
 
-    whole = rows.select("x", "z", "gold").where("x IS NOT NULL AND z IS NOT NULL AND gold IS NOT NULL")
-    got = whole.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    v = np.array([r["v"] for r in got]) if got else np.zeros(k * (h + 1) * gradient + 2)
-    return v[:-2].reshape(k, h + 1) if gradient else v[:0], v[-2], int(v[-1])
+    whole = rows.select("x", "z", "gold", "dev").where("x IS NOT NULL AND z IS NOT NULL AND gold IS NOT NULL AND dev IS NOT NULL")
+    got = whole.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    v = np.zeros(thetas.size + trials + 2)
+    for i, x in got:  # as many as there are weights
+        v[i] = x
+    return v[: thetas.size].reshape(thetas.shape), v[thetas.size : -2], v[-2:]
 
 
-def train_head(train: DataFrame, dev: DataFrame, candidates: int, features: int, rates: Sequence[float] = (0.03, 0.1), penalties: Sequence[float] = (0.001,), epochs: int = 10, every: int = 5) -> Head:
-    """The best head over all rates and penalties; the earliest wins ties."""
-    w, b = np.zeros((candidates, features)), np.zeros(candidates)
-    _, loss, n = _sums(dev, w, b, False)
-    best = Head(w, b, loss / max(n, 1))
-    for rate in rates:
-        for penalty in penalties:
-            theta = np.zeros((candidates, features + 1))
-            first, second = np.zeros_like(theta), np.zeros_like(theta)
-            for epoch in range(1, epochs + 1):
-                g, _, n = _sums(train, theta[:, :-1], theta[:, -1], True)
-                g = g / max(n, 1)
-                g *= min(1.0, CLIP / max(float(np.sqrt((g * g).sum())), 1e-12))
-                first = 0.9 * first + 0.1 * g
-                second = 0.999 * second + 0.001 * g * g
-                step = (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-                theta = theta - rate * (step + penalty * theta)
-                if epoch % every == 0 or epoch == epochs:
-                    _, loss, n = _sums(dev, theta[:, :-1], theta[:, -1], False)
-                    if loss / max(n, 1) < best.dev_nll:
-                        best = Head(theta[:, :-1].copy(), theta[:, -1].copy(), loss / max(n, 1), rate, penalty, epoch)
+def train_head(rows: DataFrame, candidates: int, features: int, rates: Sequence[float] = (0.03, 0.1), penalties: Sequence[float] = (0.001,), epochs: int = 10, every: int = 5) -> Head:
+    """The best head over all rates and penalties, by the rows with ``dev``; the others are trained on. All trials move
+    together, one job an epoch. Of equal losses the earlier epoch wins, then the earlier trial."""
+    trials = [(r, p) for r in rates for p in penalties]
+    theta = np.zeros((len(trials), candidates, features + 1))
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    best: Head | None = None
+    for epoch in range(epochs + 1):
+        g, loss, (n, dev) = _sums(rows, theta)
+        if epoch % every == 0 or epoch == epochs:
+            for i, (rate, penalty) in enumerate(trials):
+                if best is None or loss[i] / max(dev, 1) < best.dev_nll:
+                    best = Head(theta[i, :, :-1].copy(), theta[i, :, -1].copy(), loss[i] / max(dev, 1), rate, penalty, epoch)
+        g = g / max(n, 1)
+        size = np.sqrt((g * g).sum(axis=(1, 2), keepdims=True))
+        g = g * np.minimum(1.0, CLIP / np.maximum(size, 1e-12))
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g * g
+        step = (first / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(second / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+        rate, penalty = (np.array([t[k] for t in trials])[:, None, None] for k in (0, 1))
+        theta = theta - rate * (step + penalty * theta)
     return best
