@@ -7,14 +7,22 @@ import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
-import regex
 
-_REST = regex.compile(r"[^\p{L}\p{N}]+")
+
+class _Kept(dict):
+    """For each code point itself or, where its category is neither L nor N, nothing; filled as code points come."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = kept = c if unicodedata.category(chr(c))[0] in "LN" else None
+        return kept
+
+
+_KEPT = _Kept()
 
 
 def fold(text: str | None) -> str:
     """Folded form of one text; null folds to the empty text."""
-    return _REST.sub("", unicodedata.normalize("NFKC", text).lower()) if text else ""
+    return unicodedata.normalize("NFKC", text).lower().translate(_KEPT) if text else ""
 
 
 @functools.cache

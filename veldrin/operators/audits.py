@@ -83,10 +83,10 @@ def nearest_protected(new: DataFrame, new_id: str, new_text: str, protected: Dat
 
 def balance(df: DataFrame, by: Sequence[str], position: str, most: str) -> DataFrame:
     """Per stratum the counts of positions from 0 to ``most`` - 1, unused ones too: largest and smallest count."""
-    counts = df.groupBy(*by, most, position).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*by, most, position).agg(F.count("*").alias("_n"))
     strata = counts.select(*by, most).distinct().select(*by, most, F.explode(F.sequence(F.lit(0), F.col(most) - 1)).alias(position))
-    full = strata.join(counts, [*by, most, position], "left").fillna({"n": 0})
-    return full.groupBy(*by, most).agg(F.max("n").alias("largest"), F.min("n").alias("smallest"))
+    full = strata.join(counts, [*by, most, position], "left").fillna({"_n": 0})
+    return full.groupBy(*by, most).agg(F.max("_n").alias("largest"), F.min("_n").alias("smallest"))
 
 
 def secret_counts(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:

@@ -71,7 +71,8 @@ def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Se
     width = 2.0 / accuracy
     bounds = [(max(0.0, s - width), min(1.0, s + width)) for s in shares]
     sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile_approx("_v", F.array(F.lit(lo), F.lit(hi)), accuracy * 2).alias(f"_b{i}") for i, (lo, hi) in enumerate(bounds)))
-    bracket = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share"), F.col(f"_b{i}")[0].alias("low"), F.col(f"_b{i}")[1].alias("high")) for i, s in enumerate(shares)))).alias("b")
+    few = F.col("n") <= accuracy  # all values are in the bracket
+    bracket = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share"), F.when(few, F.lit(float("-inf"))).otherwise(F.col(f"_b{i}")[0]).alias("low"), F.when(few, F.lit(float("inf"))).otherwise(F.col(f"_b{i}")[1]).alias("high")) for i, s in enumerate(shares)))).alias("b")
     open_ = sketch.select(*by, "n", bracket).select(*by, "n", "b.*")
     s = open_.select(*(F.col(c).alias(f"_{c}") for c in by), "n", "i", "share", "low", "high")
     on = F.lit(True)
