@@ -164,6 +164,8 @@ def entity_table(nodes: DataFrame, id_col: str, path: str, columns: dict[str, st
 def children(nodes: DataFrame, id_col: str, lists: Sequence[str], texts: Sequence[str]) -> DataFrame:
     """``(id_col, child_path, child_key)``: elements of the ``lists`` paths by position or key, and objects that are
     elements of an array inside the JSON of the ``texts`` paths by their names and positions from its root."""
-    direct = nodes.where(F.col("parent").isin(list(lists))).select(id_col, F.col("parent").alias("child_path"), F.col("label").alias("child_key"))
-    deep = nodes.where(F.col("path").isin(list(texts)) & (F.col("kind") == "object") & (F.col("parent_kind") == "array"))
-    return direct.unionByName(deep.select(id_col, F.col("path").alias("child_path"), F.expr("substring(node, length(path) + 2)").alias("child_key")))
+    direct = F.col("parent").isin(list(lists))
+    deep = F.col("path").isin(list(texts)) & (F.col("kind") == "object") & (F.col("parent_kind") == "array")
+    path = F.when(direct, F.col("parent")).otherwise(F.col("path"))
+    key = F.when(direct, F.col("label")).otherwise(F.expr("substring(node, length(path) + 2)"))
+    return nodes.where(direct | deep).select(id_col, path.alias("child_path"), key.alias("child_key"))
