@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import decision as D
 from .functions.scorer import HashScorer, with_logits
 from .operators import arranging as A
+from .operators import answers as ANS
 from .operators import audits, calibration, metrics
 from .operators.candidates import first_error, kind_of, option_rows, with_options
 from .operators.learning import train_head
@@ -518,6 +519,102 @@ def training_shares_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.join(items, (F.col("instructions") == F.col("asked")) & (F.col("kind") == F.col("item_kind"))).select("id", "item_id")
 
 
+@query(f"""
+    WITH {OPTIONS}, n AS (SELECT id, kind, count(*) AS n, list(coalesce(description, key) ORDER BY ord) AS d FROM pairs GROUP BY id, kind),
+        s AS (SELECT id, d, CASE WHEN kind = 'score' AND n <= 10 THEN list_transform(range(n), lambda i: CAST(i AS VARCHAR)) ELSE list_transform(range(n), lambda i: chr(CAST(65 + i AS INTEGER))) END AS symbols FROM n)
+    SELECT e.id, md5(concat_ws(chr(10), '[state]', e.state, '[question]', e.instructions, '[options]', array_to_string(list_transform(list_zip(symbols, d), lambda x: x[1] || ') ' || x[2]), chr(10)))) AS prompt
+    FROM s JOIN eval_ja e USING (id)
+""")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the prompts of all cases with options; the label plays no part in them."""
+    rows = with_options(cases(spark, sf_dir).drop("label")).where(F.size("options") > 0)
+    text = ANS.prompt(F.col("state"), F.col("instructions"), F.col("options"), D.symbols(F.col("kind"), F.size("options")))
+    return rows.select("id", F.md5(text).alias("prompt"))
+
+
+@query("""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings)
+    SELECT vec_id, round(list_sum(list_transform(f[1:10], lambda x: exp(x - list_max(f)))) / list_sum(list_transform(f, lambda x: exp(x - list_max(f)))), 6) AS mass FROM v
+""")
+def candidate_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the probability of all components the first ten have."""
+    full = D.doubles(F.col("embedding"))
+    mass = ANS.candidate_mass(ANS.gathered(full, F.sequence(F.lit(0), F.lit(9))), full)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(mass, 6).alias("mass"))
+
+
+@query("""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS f FROM embeddings),
+        h AS (SELECT vec_id, f[1:4] AS z, list_transform(f[5:8], lambda x: x / greatest(sqrt(list_sum(list_transform(f[5:8], lambda y: y * y)) / 4), 1e-6)) AS h FROM v)
+    SELECT vec_id, round(z[1] + 0.5 * h[1] + 0.1, 6) AS a, round(z[2] + 0.5 * h[2] - 0.1, 6) AS b, round(z[3] + h[1] - h[4], 6) AS c FROM h
+""")
+def residual_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three base logits, corrected by a fixed head over four features."""
+    f = F.col("f")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", D.doubles(F.col("embedding")).alias("f"))
+    weights = F.array(*(F.array(*map(F.lit, w)) for w in ([0.5, 0.0, 0.0, 0.0], [0.0, 0.5, 0.0, 0.0], [1.0, 0.0, 0.0, -1.0])))
+    logits = ANS.residual_logits(F.slice(f, 1, 3), F.slice(f, 5, 4), weights, F.array(F.lit(0.1), F.lit(-0.1), F.lit(0.0)))
+    return rows.select("vec_id", logits.alias("z")).select("vec_id", *(F.round(F.col("z")[i], 6).alias(n) for i, n in enumerate("abc")))
+
+
+@query("""
+    WITH a AS (SELECT result AS r, list_filter(map_values(result.probabilities), lambda x: x IS NOT NULL) AS v FROM raw WHERE result IS NOT NULL AND result.candidate_keys IS NOT NULL),
+        e AS (SELECT unnest(list_filter([
+            CASE WHEN r.label IS NULL THEN 'no label' END, CASE WHEN NOT list_contains(r.candidate_keys, r.label) THEN 'label is no candidate' END,
+            CASE WHEN r.probabilities IS NULL OR cardinality(r.probabilities) = 0 THEN 'no probabilities' END,
+            CASE WHEN cardinality(r.probabilities) <> len(r.candidate_keys) OR len(list_filter(r.candidate_keys, lambda k: NOT list_contains(map_keys(r.probabilities), k))) > 0 THEN 'other keys' END,
+            CASE WHEN len(v) < cardinality(r.probabilities) THEN 'probability missing' END, CASE WHEN len(list_filter(v, lambda x: x < 0 OR x > 1)) > 0 THEN 'probability out of range' END,
+            CASE WHEN len(v) > 0 AND abs(list_sum(v) - 1) > 1e-5 THEN 'sum is not one' END, CASE WHEN r.probabilities[r.label] < list_max(v) - 1e-7 THEN 'label is not the likeliest' END,
+            CASE WHEN r.candidate_logits IS NULL OR len(r.candidate_logits) <> len(r.candidate_keys) THEN 'logits missing' END,
+            CASE WHEN len(list_filter(r.candidate_logits, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'logit not finite' END,
+            CASE WHEN r.confidence IS NULL OR r.confidence < 0 OR r.confidence > 1 THEN 'confidence out of range' END, CASE WHEN r.input_tokens IS NULL OR r.input_tokens <= 0 THEN 'no tokens' END,
+            CASE WHEN r.latency_ms IS NULL OR r.latency_ms < 0 THEN 'no latency' END], lambda x: x IS NOT NULL)) AS error FROM a)
+    SELECT error, count(*) AS n FROM e GROUP BY error
+""")
+def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many recorded answers break each rule of an answer."""
+    r = F.col("result")
+    rows = table(spark, sf_dir, "raw").where("result IS NOT NULL AND result.candidate_keys IS NOT NULL").select("result")
+    errors = ANS.answer_errors(r["label"], r["candidate_keys"], r["probabilities"], r["candidate_logits"], r["confidence"], r["input_tokens"], r["latency_ms"])
+    return rows.select(F.explode(errors).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, CAST(sum(l) AS BIGINT) AS \"left\", CAST(sum(r) AS BIGINT) AS \"right\" FROM (SELECT label, CASE WHEN split = 'dev' THEN 1 ELSE 0 END AS l, CASE WHEN split = 'calibration' THEN 1 ELSE 0 END AS r FROM eval_ja WHERE split IN ('dev', 'calibration')) GROUP BY label HAVING sum(l) <> sum(r)")
+def label_count_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that the dev and the calibration split don't have equally often."""
+    rows = cases(spark, sf_dir)
+    return ANS.count_differences(rows.where("split = 'dev'"), rows.where("split = 'calibration'"), ["label"])
+
+
+@query("""
+    WITH m AS (SELECT engine, quantile_cont(wall_ms, 0.5) AS p50 FROM run_acceptance WHERE wall_ms > 0 GROUP BY engine)
+    SELECT a.engine, b.engine AS base, round(a.p50 / b.p50, 6) AS ratio FROM m a, m b WHERE b.engine = 'native_q4'
+""")
+def latency_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median times of each engine against one of them."""
+    medians = metrics.exact_percentiles(answers(spark, sf_dir).where("wall_ms > 0"), ["engine"], "wall_ms", [0.5])
+    base = medians.where("engine = 'native_q4'").select(F.col("engine").alias("base"), F.col("percentile").alias("of"))
+    return medians.join(F.broadcast(base)).select("engine", "base", F.round(F.col("percentile") / F.col("of"), 6).alias("ratio"))
+
+
+@query(f"""
+    WITH d AS (SELECT engine, strftime(started_at, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE {RIGHT}) AS correct FROM run_acceptance WHERE started_at IS NOT NULL GROUP BY engine, day)
+    SELECT engine, day, CAST(sum(n) OVER w AS BIGINT) AS n_so_far, CAST(sum(correct) OVER w AS BIGINT) AS correct_so_far, n - lag(n) OVER w AS change FROM d WINDOW w AS (PARTITION BY engine ORDER BY day)
+""")
+def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts up to each day, by engine: days are summed first, so that the windows run over few rows."""
+    daily = metrics.accuracy_sets(answers(spark, sf_dir).where("started_at IS NOT NULL").select("engine", F.date_format("started_at", "yyyy-MM-dd").alias("day"), "valid", "correct"), [["engine", "day"]])
+    by = Window.partitionBy("engine").orderBy("day")
+    return daily.select("engine", "day", F.sum("n").over(by).alias("n_so_far"), F.sum("correct").over(by).alias("correct_so_far"), (F.col("n") - F.lag("n").over(by)).alias("change"))
+
+
+@query("SELECT CAST(date_diff('day', CAST(started_at AS DATE), CAST(received_at AS DATE)) AS INTEGER) AS days, count(*) AS n FROM run_acceptance WHERE started_at IS NOT NULL AND received_at IS NOT NULL GROUP BY days")
+def lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many days after its start a run was received."""
+    rows = answers(spark, sf_dir).where("started_at IS NOT NULL AND received_at IS NOT NULL")
+    return rows.groupBy(F.datediff(F.to_date("received_at"), F.to_date("started_at")).alias("days")).agg(F.count("*").alias("n"))
+
+
 # Documents
 
 
