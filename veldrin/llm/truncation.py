@@ -2,7 +2,7 @@
 
 Texts are read as symbols: a letter run of one script, a number or a word that begins in upper case is one symbol of
 its class and size, a lower-case word one of its own, other characters stand for themselves. For the last 1, 2, ... ``ORDER`` symbols of each text, read backward, the model knows
-how often they stand anywhere in the corpus and how often a different text ends there. The longer contexts are
+how often they stand anywhere in the corpus, how often a line ends there, and how often a different text does. The longer contexts are
 smoothed by the shorter ones, without the text's own end, and the log-odds of ending against going on are held
 against a threshold for the text's language and source. Blanks and omission marks at the end are left out first.
 
@@ -32,6 +32,8 @@ BLOCK = 500
 FILTER_BITS = 22
 #: Weight of the shorter context in that of the longer one.
 KAPPA = 100.0
+#: What the end of a line counts for against the end of a text.
+LINE = 0.1
 #: Log-odds between which the threshold of a group is looked for, the width of a bin, and what holds for small groups.
 LOWEST, HIGHEST, BIN, DEFAULT = -5.5, -4.25, 0.25, -4.75
 #: Texts from which a language, and a source within a language, gets a threshold of its own.
@@ -104,16 +106,19 @@ class Symbols:
         self.run = np.repeat(place, length)
         self.first = edges[:-1][row]
         self.ends = starts[1:] - 1
+        breaks = np.append((codes[1:] == 10) | (codes[1:] == 13), False)
+        breaks[self.ends] = False
+        self.breaks = breaks.astype(_U)
 
     def contexts(self, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order, the hash of the symbols that end at each character (or those ``at``), and where there are
-        that many."""
+        """For each order, the hash (an even number) of the symbols that end at each character (or those ``at``), and
+        where there are that many."""
         value, run, first = (self.value, self.run, self.first) if at is None else (self.value[at], self.run[at], self.first[at])
         h = np.zeros(len(value), _U)
         for n in range(ORDER):
             before = run - n
             h = mix(h * _U(0x9E3779B97F4A7C15) + (value if n == 0 else self.whole[np.maximum(before, 0)]) + _U(n + 1))
-            yield h, before >= first
+            yield h & ~_U(1), before >= first
 
 
 def trimmed(text: str) -> str:
@@ -153,14 +158,14 @@ def _bit(ctx: np.ndarray) -> np.ndarray:
     return (mix(ctx.view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
 
-def known_endings(ends: DataFrame) -> DataFrame:
-    """``(ctx, ends)``: final contexts of at least two different texts."""
+def endings(ends: DataFrame) -> DataFrame:
+    """``(ctx, ends)``: final contexts and how many different texts end with them."""
     distinct = ends.groupBy("same").agg(F.first("ctx").alias("ctx"))
-    return distinct.select(F.explode("ctx").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("ends")).where("ends > 1")
+    return distinct.select(F.explode("ctx").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("ends"))
 
 
 def bitmap(known: DataFrame) -> np.ndarray:
-    """A filter of fixed size that lets through every known context."""
+    """A filter of fixed size that lets through every final context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -175,21 +180,23 @@ def bitmap(known: DataFrame) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(ctx, n)``: how often contexts that pass the filter stand anywhere in the texts."""
+    """``(ctx, n, lines)``: how often contexts that pass the filter stand anywhere in the texts, and at a line's end."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = np.unpackbits(shared.value).astype(bool)
         for _, _, texts in _blocks(batches, 0):
             found = []
-            for h, there in Symbols(texts).contexts():
+            for h, there in (own := Symbols(texts)).contexts():
                 there = there & open_[_bit(h)]
-                found.append(h[there])
+                found.append(h[there] | own.breaks[there])
             every = np.sort(np.concatenate(found))
             new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every[new].view(np.int64)), pa.array(np.diff(np.append(new, len(every))), pa.int64())], ["ctx", "n"])
+            n = np.diff(np.append(new, len(every)))
+            at_line = (every[new] & _U(1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((every[new] & ~_U(1)).view(np.int64)), pa.array(n, pa.int64()), pa.array(n * at_line, pa.int64())], ["ctx", "n", "lines"])
 
-    return docs.select("text").mapInArrow(run, "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "ctx long, n long, lines long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
 
 
 def end_odds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
@@ -197,15 +204,15 @@ def end_odds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     against going on."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     ends = stage(final_contexts(slim), "ends")
-    known = stage(known_endings(ends), "endings")
+    known = stage(endings(ends), "endings")
     model = stage(known.join(occurrences(slim, bitmap(known)), "ctx"), "end-model")
     n, total = ends.agg(F.count("*"), F.sum("chars")).first()
     base = (n or 0) / max(total or 0, 1)
     looked = ends.select("doc_id", F.posexplode("ctx").alias("order", "ctx")).distinct().join(model, "ctx")
-    per_text = looked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "ends", "n"))).alias("seen"))  # ORDER entries at most
-    smooth = lambda p, x: (x["ends"] - 1 + KAPPA * p) / (x["n"] - 1 + KAPPA)
+    per_text = looked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "ends", "n", "lines"))).alias("seen"))  # ORDER entries at most
+    smooth = lambda p, x: F.least(F.lit(1.0), (x["ends"] - 1 + LINE * x["lines"] + KAPPA * p) / (x["n"] - 1 + KAPPA))
     scored = ends.drop("same", "ctx").distinct().join(per_text, "doc_id", "left")
-    p = F.aggregate(F.coalesce("seen", F.array().cast("array<struct<order:int,ends:bigint,n:bigint>>")), F.lit(base), smooth)
+    p = F.aggregate(F.coalesce("seen", F.array().cast("array<struct<order:int,ends:bigint,n:bigint,lines:bigint>>")), F.lit(base), smooth)
     kept = ["doc_id", "source", "lang", "chars", "bytes"]
     return scored.select(*kept, p.alias("p")).select(*kept, F.log(F.col("p") / F.greatest(F.lit(1e-9), 1 - F.col("p"))).alias("log_odds"))
 
