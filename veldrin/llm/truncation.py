@@ -110,15 +110,22 @@ class Symbols:
         breaks[self.ends] = False
         self.breaks = breaks.astype(_U)
 
-    def contexts(self, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order, the hash (an even number) of the symbols that end at each character (or those ``at``), and
-        where there are that many."""
-        value, run, first = (self.value, self.run, self.first) if at is None else (self.value[at], self.run[at], self.first[at])
-        h = np.zeros(len(value), _U)
+    def contexts(self, at: np.ndarray, open_: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order, characters and the hashes (even numbers) of the symbols that end there.
+
+        Characters before which the text has no further symbol drop out, and so do those that a filter ``open_`` keeps
+        out: it lets through all final contexts, of which every longer one ends with a shorter one.
+        """
+        h = np.zeros(len(at), _U)
         for n in range(ORDER):
-            before = run - n
-            h = mix(h * _U(0x9E3779B97F4A7C15) + (value if n == 0 else self.whole[np.maximum(before, 0)]) + _U(n + 1))
-            yield h & ~_U(1), before >= first
+            there = self.run[at] - n >= self.first[at]
+            if not there.all():
+                at, h = at[there], h[there]
+            h = mix(h * _U(0x9E3779B97F4A7C15) + (self.value[at] if n == 0 else self.whole[self.run[at] - n]) + _U(n + 1))
+            if open_ is not None:
+                passed = open_[_bit(h & ~_U(1))]
+                at, h = at[passed], h[passed]
+            yield at, h & ~_U(1)
 
 
 def trimmed(text: str) -> str:
@@ -144,9 +151,10 @@ def final_contexts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, kept, texts in _blocks(batches, 3):
             found = list((own := Symbols(texts)).contexts(own.ends))
-            there = np.stack([t for _, t in found], axis=1)
-            values = np.stack([h for h, _ in found], axis=1)[there].view(np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32())
+            row = np.searchsorted(own.ends, np.concatenate([at for at, _ in found]))
+            order = np.argsort(row, kind="stable")
+            values = np.concatenate([h for _, h in found])[order].view(np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]), pa.int32())
             same = pa.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64())
             rows = b.take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), same, pa.array([len(t) for t in texts], pa.int32()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values))], names)
@@ -186,11 +194,8 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = np.unpackbits(shared.value).astype(bool)
         for _, _, texts in _blocks(batches, 0):
-            found = []
-            for h, there in (own := Symbols(texts)).contexts():
-                there = there & open_[_bit(h)]
-                found.append(h[there] | own.breaks[there])
-            every = np.sort(np.concatenate(found))
+            own = Symbols(texts)
+            every = np.sort(np.concatenate([h | own.breaks[at] for at, h in own.contexts(np.arange(len(own.value)), open_)]))
             new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
             n = np.diff(np.append(new, len(every)))
             at_line = (every[new] & _U(1)).astype(np.int64)
