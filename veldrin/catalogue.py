@@ -151,7 +151,7 @@ def projection_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {DECISIONS}, soft AS ({_softmax_sql("decisions")}), back AS (SELECT raw_id, list_reverse(keys) AS rk, list_reverse(p) AS rp FROM soft)
-    SELECT soft.raw_id, list_transform(keys, lambda k: round(rp[list_position(rk, k)], 6)) AS p, keys[list_position(p, list_max(p))] = rk[list_position(rp, list_max(rp))] AS same_label
+    SELECT soft.raw_id, round(rp[list_position(rk, keys[1])], 6) AS first_p, round(rp[list_position(rk, keys[len(keys)])], 6) AS last_p, keys[list_position(p, list_max(p))] = rk[list_position(rp, list_max(rp))] AS same_label
     FROM soft JOIN back USING (raw_id) WHERE kind = 'choice'
 """)
 def reversed_choice_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,8 @@ def reversed_choice_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decisions(spark, sf_dir).where("kind = 'choice'").select("raw_id", "keys", D.softmax(F.col("z")).alias("p"))
     back = rows.select("raw_id", F.reverse("keys").alias("rk"), F.reverse("p").alias("rp"))
     same = D.at(F.col("keys"), D.argmax(F.col("p"))) == D.at(F.col("rk"), D.argmax(F.col("rp")))
-    return rows.join(back, "raw_id").select("raw_id", F.transform(D.aligned(F.col("rp"), F.col("rk"), F.col("keys")), lambda x: F.round(x, 6)).alias("p"), same.alias("same_label"))
+    laid = rows.join(back, "raw_id").withColumn("q", D.aligned(F.col("rp"), F.col("rk"), F.col("keys")))
+    return laid.select("raw_id", F.round(F.element_at("q", 1), 6).alias("first_p"), F.round(F.element_at("q", -1), 6).alias("last_p"), same.alias("same_label"))
 
 
 @query(f"""
@@ -384,11 +385,11 @@ def candidate_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {OPTIONS}, n AS (SELECT id, kind, count(*) AS n FROM pairs GROUP BY id, kind)
-    SELECT id, kind, CASE WHEN kind = 'score' AND n <= 10 THEN list_transform(range(n), lambda i: CAST(i AS VARCHAR)) ELSE list_transform(range(n), lambda i: chr(CAST(65 + i AS INTEGER))) END AS symbols FROM n
+    SELECT id, kind, array_to_string(CASE WHEN kind = 'score' AND n <= 10 THEN list_transform(range(n), lambda i: CAST(i AS VARCHAR)) ELSE list_transform(range(n), lambda i: chr(CAST(65 + i AS INTEGER))) END, '') AS symbols FROM n
 """)
 def candidate_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_options(cases(spark, sf_dir)).where(F.size("options") > 0)
-    return rows.select("id", "kind", D.symbols(F.col("kind"), F.size("options")).alias("symbols"))
+    return rows.select("id", "kind", F.array_join(D.symbols(F.col("kind"), F.size("options")), "").alias("symbols"))
 
 
 @query(f"""
@@ -445,12 +446,12 @@ def repeated_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT e.id, list_filter([CASE WHEN e.instructions IN (SELECT instructions FROM warmup_case) THEN 'instructions' END, CASE WHEN e.criteria IN (SELECT criteria FROM warmup_case) THEN 'criteria' END], lambda x: x IS NOT NULL) AS shared
+    SELECT e.id, array_to_string(list_filter([CASE WHEN e.instructions IN (SELECT instructions FROM warmup_case) THEN 'instructions' END, CASE WHEN e.criteria IN (SELECT criteria FROM warmup_case) THEN 'criteria' END], lambda x: x IS NOT NULL), ',') AS shared
     FROM eval_ja e WHERE e.instructions IN (SELECT instructions FROM warmup_case) OR e.criteria IN (SELECT criteria FROM warmup_case)
 """)
 def protected_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that share instructions or criteria with a warm-up case."""
-    return audits.protected_overlap(cases(spark, sf_dir).select("id", "instructions", "criteria"), table(spark, sf_dir, "warmup_case"), ["instructions", "criteria"]).select("id", "shared")
+    return audits.protected_overlap(cases(spark, sf_dir).select("id", "instructions", "criteria"), table(spark, sf_dir, "warmup_case"), ["instructions", "criteria"]).select("id", F.array_join("shared", ",").alias("shared"))
 
 
 @query("""
@@ -504,11 +505,11 @@ def position_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {OPTIONS}, o AS (SELECT id, kind, list(key ORDER BY ord) AS keys FROM pairs GROUP BY id, kind)
-    SELECT id, kind, keys FROM o UNION ALL SELECT id || '_reverse', kind, list_reverse(keys) FROM o WHERE kind = 'choice'
+    SELECT id, kind, array_to_string(keys, ',') AS keys FROM o UNION ALL SELECT id || '_reverse', kind, array_to_string(list_reverse(keys), ',') FROM o WHERE kind = 'choice'
 """)
 def augmented_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_options(cases(spark, sf_dir)).where(F.size("options") > 0).select("id", "kind", F.col("options.key").alias("keys"))
-    return A.with_reversed(rows, "id", "keys", F.col("kind") == "choice")
+    return A.with_reversed(rows, "id", "keys", F.col("kind") == "choice").withColumn("keys", F.array_join("keys", ","))
 
 
 @query(f"WITH {KINDS} SELECT k.id, h.item_id FROM k JOIN heldout_item h ON h.instructions = k.instructions AND lower(trim(h.type)) = k.kind WHERE k.split = 'train'")
