@@ -215,3 +215,19 @@ def test_shards_give_the_same(df, monkeypatch):
     monkeypatch.setattr(over, "SHARD_CHARACTERS", 700)
     monkeypatch.setattr(over, "STREAM", 10)
     assert sorted(map(str, over.overlapping(df).collect())) == whole
+
+
+def test_overlaps_with_edits_spread_evenly(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(400)] + list("abcdefghij0123")
+    rows, want = [], set()
+    for i in range(300):
+        base = [rng.choice(letters) for _ in range(rng.randrange(110, 300))]
+        near, step = list(base), rng.choice([12, 13, 14, 16])
+        for k in range(rng.randrange(step), len(near), step):
+            near[k] = rng.choice(letters)
+        rows += [(f"t{i}", "choice", "".join(base), None, None, "train", "s", 1, ""), (f"e{i}", "choice", "".join(near), None, None, "dev", "s", 1, "")]
+        if like("".join(base), "".join(near)) >= 0.6:
+            want.add((f"t{i}", f"e{i}"))
+    got = {(r["train_id"], r["eval_id"]) for r in over.overlapping(spark.createDataFrame(rows, CASES).repartition(3)).collect()}
+    assert got == want and len(want) > 200

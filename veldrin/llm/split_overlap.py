@@ -1,15 +1,19 @@
-"""The same or almost the same records across splits: a compressed full-text index of the evaluation side.
+"""The same or almost the same records across splits: an index of the evaluation side that loses no pair.
 
-Folded texts are cut into phrases where the characters say so, so that an edit changes only the phrases it touches.
-The evaluation texts are laid into shards; each shard's phrases get a suffix order of bounded depth and its
-Burrows-Wheeler transform. Training texts are streamed through backward search against each shard of their type:
-from every phrase the match grows backward until few enough places are left for its length, or until it is maximal.
-The spans of a pair of texts are merged, and pairs with enough of the text covered are checked exactly.
+Equal texts of a type are one text class, whatever their criteria. The evaluation texts are laid into shards; in each
+the three-character pieces have an order, rare ones first. Two texts that are alike enough share one of the first
+pieces of both, early enough that the pieces left can still make up the likeness, so only these are indexed, and
+training texts are streamed against each shard of their type. Bits of the parity of each text's pieces then rule out
+pairs that differ in too many. All three bounds follow from the threshold. What is left is checked exactly: texts
+first, then the criteria of all records with such texts.
 
 The index is written to the shared folder and read from there by tasks, one shard at a time, so neither side passes
 through the driver. Each type's training texts are compared with all its shards, whose number is the evaluation
 side divided by ``SHARD_CHARACTERS``.
 
+``phrases``, ``build_index`` and ``Shard`` are a full-text index with backward search over content-defined phrases.
+``overlapping`` doesn't use it, since edits spread over a text leave no phrase whole.
+
 Nulls: a record without an id or whose folded state is empty never counts; null instructions and types count as
 empty, a null or blank criteria is missing, and a null split isn't the training split. Repeated rows are one record.
 """
@@ -26,7 +30,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold, fold_codes, likeness, mix, sorted_unique, to_codes, to_texts
+from ..functions.folding import fold, fold_codes, likeness, mix, piece_keys, pieces, sorted_unique, to_codes, to_texts
 from ..plans.staging import shared_dir, stage
 from .near_duplicates import text_hash
 from .tokens import ragged
@@ -40,10 +44,10 @@ TYPE_BUCKETS = 64
 PHRASE = 6
 #: Phrases up to which suffixes are ordered and matches grow, a power of two.
 DEPTH = 8
-#: Least characters of a match, and the share of a text from which a match in a short text counts.
-LEAST, LEAST_SHARE = 10, 0.25
-#: Share of the training text that a pair's merged spans must cover.
-COVERED = 0.15
+#: Bits of the parity of a text's pieces.
+PARITY_BITS = 1024
+#: Places of the index that are looked at together.
+LOOKED = 2_000_000
 #: Training texts that a task searches for together.
 STREAM = 20_000
 
@@ -116,51 +120,91 @@ class Shard:
         return np.searchsorted(self.keys, base + low), np.searchsorted(self.keys, base + high)
 
 
-def allowed(length: np.ndarray) -> np.ndarray:
-    """Places that a match of so many characters may have at most before it grows on; beyond 60 characters, any number."""
-    return np.where(length >= 60, 1 << 60, np.exp2(2 + np.minimum(length, 60) / 3)).astype(np.int64)
-
-
-def search(shard: Shard, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(training text, shard text, covered characters)`` of all pairs whose merged spans cover enough."""
-    codes, starts = to_codes(texts)
-    h, row, first, length = phrases(codes, starts)
-    size = np.diff(starts)
-    symbol = shard.symbols(h)
-    least = np.minimum(LEAST, np.maximum(size * LEAST_SHARE, 1))
-    last = np.flatnonzero(symbol)
-    head = last.copy()
-    low, high = shard.begins[symbol[last]], shard.begins[symbol[last] + 1]
-    done: list[np.ndarray] = []
-    for depth in range(1, DEPTH + 1):
-        span = first[last] + length[last] - first[head]
-        enough = (span >= least[row[last]]) & (high - low <= allowed(span))
-        done.append(np.stack([head, last, low, high])[:, enough])
-        go = ~enough & (first[head] > 0) & (depth < DEPTH)
-        go[go] = symbol[head[go] - 1] > 0
-        last, head, low, high = last[go], head[go] - 1, low[go], high[go]
-        low, high = shard.step(symbol[head], low, high)
-        there = high > low
-        last, head, low, high = last[there], head[there], low[there], high[there]
-    head, last, low, high = np.concatenate(done, axis=1)
-    count = high - low
-    hit = np.repeat(np.arange(len(head)), count)
-    pair = row[head][hit] << 32 | shard.text[ragged(low, count)]
-    begin, end = first[head][hit], (first[last] + length[last])[hit]
-    # merge the spans of each pair
-    order = np.lexsort((begin, pair))
-    pair, begin, end = pair[order], begin[order], end[order]
-    if not len(pair):
-        return pair, pair, pair
-    new = np.concatenate([[True], pair[1:] != pair[:-1]])
-    group = np.cumsum(new) - 1
-    wide = int(end.max()) + 1
-    reach = np.maximum.accumulate(end + group * wide) - group * wide  # the furthest end so far in the pair
-    prior = np.where(new, begin, np.concatenate([[0], reach[:-1]]))
-    covered = np.bincount(group, weights=np.maximum(end - np.maximum(begin, prior), 0))
-    pair = pair[new]
-    keep = covered >= COVERED * size[pair >> 32]
-    return pair[keep] >> 32, pair[keep] & 0xFFFFFFFF, covered[keep].astype(np.int64)
+def text_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pieces of each text, the text of each piece, and the parity bits of each text's pieces."""
+    found, rows, bits = [], [], [np.zeros((0, PARITY_BITS // 64), _U)]
+    for at in range(0, len(texts), BLOCK):
+        block = texts[at : at + BLOCK]
+        keys = piece_keys(*pieces(*to_codes(block)))
+        row, piece = (keys >> _U(50)).astype(np.int64), keys & _U((1 << 50) - 1)
+        odd = np.bincount(row * PARITY_BITS + (piece & _U(PARITY_BITS - 1)).astype(np.int64), minlength=len(block) * PARITY_BITS) & 1
+        found.append(piece)
+        rows.append(row + at)
+        bits.append(np.packbits(odd.astype(bool).reshape(len(block), PARITY_BITS), axis=1).view(_U))
+    return np.concatenate([np.zeros(0, _U), *found]), np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate(bits)
+
+
+def in_order(rank: np.ndarray, row: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank, text and place of the first pieces of each text, of which a text that is alike enough has one at least."""
+    key = np.sort(row << 32 | rank)
+    row = key >> 32
+    place = np.arange(len(key)) - (np.cumsum(size) - size)[row]
+    first = place <= (size - np.ceil(threshold * size - 1e-6))[row]
+    return (key & 0xFFFFFFFF)[first], row[first], place[first]
+
+
+def build_pieces(texts: list[str], threshold: float) -> dict[str, np.ndarray]:
+    """The pieces of a shard with their ranks from the rarest on, the texts that have a piece among their first ones
+    by rank and size, its place in each, and the number and parity bits of each text's pieces."""
+    piece, row, parity = text_pieces(texts)
+    size = np.bincount(row, minlength=len(texts))
+    known, at, n = np.unique(piece, return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(1, len(known) + 1)
+    own, text, place = in_order(rank[at], row, size, threshold)
+    order = np.lexsort((size[text], own))
+    begins = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(known) + 1))])
+    return {"known": known.view(np.int64), "rank": rank.astype(np.int32), "begins": begins.astype(np.int32), "text": text[order].astype(np.int32), "place": place[order].astype(np.int32), "size": size.astype(np.int32), "parity": parity.view(np.int64)}
+
+
+class Pieces:
+    """A loaded shard."""
+
+    def __init__(self, known: np.ndarray, rank: np.ndarray, begins: np.ndarray, text: np.ndarray, place: np.ndarray, size: np.ndarray, parity: np.ndarray):
+        self.known, self.rank, self.text, self.place, self.size = known.view(_U), rank.astype(np.int64), text, place, size.astype(np.int64)
+        self.parity = parity.view(_U).reshape(len(size), PARITY_BITS // 64)
+        self.keys = np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins)) << 32 | self.size[text]
+
+    def ranks(self, piece: np.ndarray) -> np.ndarray:
+        """Rank of each piece, 0 where no text of the shard has it."""
+        at = np.minimum(np.searchsorted(self.known, piece), len(self.known) - 1)
+        return np.where(self.known[at] == piece, self.rank[at], 0)
+
+
+def search(shard: Pieces, piece: np.ndarray, row: np.ndarray, parity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(training text, shard text)`` of all pairs that the bounds of ``threshold`` do not rule out; ``piece``, ``row``
+    and ``parity`` are the ``text_pieces`` of the training texts."""
+    size = np.bincount(row, minlength=len(parity))
+    share = threshold / (1 + threshold)  # of the pieces of both texts together, how many they must have in common
+    rank, text, place = in_order(shard.ranks(piece), row, size, threshold)
+    there = rank > 0
+    rank, text, place = rank[there], text[there], place[there]
+    own = size[text]
+    low = np.searchsorted(shard.keys, rank << 32 | np.ceil(threshold * own - 1e-6).astype(np.int64))
+    high = np.searchsorted(shard.keys, rank << 32 | np.floor((own - place) / share - own + 1e-6).astype(np.int64), "right")
+    there = high > low
+    text, place, low, count = text[there], place[there], low[there], (high - low)[there]
+    total = np.cumsum(count)
+    out = [np.zeros(0, np.int64)]
+    begin = 0
+    while begin < len(count):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + LOOKED, "right")))
+        hit = np.repeat(np.arange(begin, end), count[begin:end])
+        at = ragged(low[begin:end], count[begin:end])
+        other, mine = shard.text[at].astype(np.int64), text[hit]
+        sizes = size[mine] + shard.size[other]
+        common = np.ceil(share * sizes - 1e-6)
+        good = np.flatnonzero(shard.size[other] - shard.place[at] >= common)
+        other, mine, most = other[good], mine[good], (sizes - 2 * common)[good]
+        differ = np.zeros(len(mine), np.int64)
+        for words in (slice(0, 4), slice(4, None)):
+            differ += np.bitwise_count(shard.parity[other, words] ^ parity[mine, words]).sum(axis=1, dtype=np.int64)
+            good = differ <= most
+            other, mine, most, differ = other[good], mine[good], most[good], differ[good]
+        out.append(sorted_unique(mine << 32 | other))
+        begin = end
+    pair = sorted_unique(np.concatenate(out))
+    return pair >> 32, pair & 0xFFFFFFFF
 
 
 def criteria_text(text: str | None) -> str | None:
@@ -174,9 +218,10 @@ def criteria_text(text: str | None) -> str | None:
 
 
 def split_records(df: DataFrame, train: str) -> DataFrame:
-    """``(id, train, split, source, cls, alt, head, kind, text, criteria)`` of every record that counts; ``head`` marks
-    the first row of its class and side that its task saw."""
-    schema = pa.schema([("id", pa.string()), ("train", pa.bool_()), ("split", pa.string()), ("source", pa.string()), ("cls", pa.int64()), ("alt", pa.int64()), ("head", pa.bool_()), ("kind", pa.string()), ("text", pa.string()), ("criteria", pa.string())])
+    """``(id, train, split, source, cls, alt, head, tcls, talt, thead, kind, text, criteria)`` of every record that
+    counts; ``tcls`` and ``talt`` are the class of its type and text alone, ``head`` and ``thead`` mark the first row of
+    a class and of a text class on their side that its task saw."""
+    schema = pa.schema([("id", pa.string()), ("train", pa.bool_()), ("split", pa.string()), ("source", pa.string()), ("cls", pa.int64()), ("alt", pa.int64()), ("head", pa.bool_()), ("tcls", pa.int64()), ("talt", pa.int64()), ("thead", pa.bool_()), ("kind", pa.string()), ("text", pa.string()), ("criteria", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
@@ -191,20 +236,21 @@ def split_records(df: DataFrame, train: str) -> DataFrame:
                         continue
                     text, own = state + ask, criteria_text(criteria)
                     h = text_hash(f"{kind}\0{text}\0" + ("-" if own is None else "+" + own))
+                    t = text_hash(f"{kind}\0{text}")
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     side = split == train
-                    out.append((i, side, split, source, *h, (side, h) not in seen, kind, text, own))
-                    seen.add((side, h))
+                    out.append((i, side, split, source, *h, (side, h) not in seen, *t, (side, t) not in seen, kind, text, own))
+                    seen |= {(side, h), (side, t)}
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in ("id", "split", "source", "type", "state", "instructions", "criteria"))).mapInArrow(
-        run, "id string, train boolean, split string, source string, cls long, alt long, head boolean, kind string, text string, criteria string"
+        run, "id string, train boolean, split string, source string, cls long, alt long, head boolean, tcls long, talt long, thead boolean, kind string, text string, criteria string"
     )
 
 
-def write_index(evaluation: DataFrame) -> tuple[str, dict[int, int]]:
-    """Index the heads of the evaluation side; the folder, and the number of shards of each bucket of types."""
+def write_index(evaluation: DataFrame, threshold: float) -> tuple[str, dict[int, int]]:
+    """Index the text classes of the evaluation side; the folder, and the number of shards of each bucket of types."""
     spark = evaluation.sparkSession
     bucket = F.pmod(F.xxhash64("kind"), F.lit(TYPE_BUCKETS)).cast("int")
     sizes = evaluation.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("text")).alias("n")).collect()  # TYPE_BUCKETS rows at most
@@ -213,11 +259,14 @@ def write_index(evaluation: DataFrame) -> tuple[str, dict[int, int]]:
     if not shards:
         return path, shards
     count = F.create_map(*(F.lit(x) for kv in shards.items() for x in kv))
-    placed = evaluation.select(bucket.alias("bucket"), "cls", "alt", "text").withColumn("shard", F.pmod("cls", count[F.col("bucket")]).cast("int"))
+    placed = evaluation.select(bucket.alias("bucket"), "tcls", "talt", "text").withColumn("shard", F.pmod("tcls", count[F.col("bucket")]).cast("int"))
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
-        parts = build_index(group.column("text").to_pylist())
-        parts |= {"cls": group.column("cls").to_numpy(), "alt": group.column("alt").to_numpy()}
+        cls, alt = group.column("tcls").to_numpy(), group.column("talt").to_numpy()
+        order = np.lexsort((alt, cls))
+        once = order[np.append(True, (np.diff(cls[order]) != 0) | (np.diff(alt[order]) != 0))]  # several tasks may have seen a class
+        parts = build_pieces(group.column("text").take(pa.array(once)).to_pylist(), threshold)
+        parts |= {"cls": cls[once], "alt": alt[once]}
         names = list(parts)
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(names), pa.int32()), "shard": pa.array([key[1].as_py()] * len(names), pa.int32()), "name": names, "content": pa.array([parts[n].tobytes() for n in names], pa.binary())})
 
@@ -225,7 +274,7 @@ def write_index(evaluation: DataFrame) -> tuple[str, dict[int, int]]:
     return path, shards
 
 
-def load_shard(path: str, bucket: int, shard: int) -> tuple[Shard, np.ndarray, np.ndarray] | None:
+def load_shard(path: str, bucket: int, shard: int) -> tuple[Pieces, np.ndarray, np.ndarray] | None:
     """A shard's index with the classes of its texts; None where no text fell into the shard."""
     fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     folder = f"{root}/bucket={bucket}/shard={shard}"
@@ -234,26 +283,28 @@ def load_shard(path: str, bucket: int, shard: int) -> tuple[Shard, np.ndarray, n
     found = pq.read_table(folder, filesystem=fs, columns=["name", "content"], partitioning=None)
     parts = dict(zip(found.column("name").to_pylist(), found.column("content").to_pylist()))
     get = lambda n, kind: np.frombuffer(parts[n], kind)
-    return Shard(get("known", np.int64), get("begins", np.int32), get("rows", np.int32), get("text", np.int32)), get("cls", np.int64), get("alt", np.int64)
+    numbers = (get(n, np.int32) for n in ("rank", "begins", "text", "place", "size"))
+    return Pieces(get("known", np.int64), *numbers, get("parity", np.int64)), get("cls", np.int64), get("alt", np.int64)
 
 
-def matched_classes(training: DataFrame, path: str, shards: dict[int, int]) -> DataFrame:
-    """``(a, aa, b, ab, covered)``: classes of training texts and of the evaluation texts they share enough with."""
-    names = ["a", "aa", "b", "ab", "covered"]
+def matched_classes(training: DataFrame, path: str, shards: dict[int, int], threshold: float) -> DataFrame:
+    """``(a, aa, b, ab)``: text classes of training texts and of the evaluation texts that may be alike enough."""
+    names = ["a", "aa", "b", "ab"]
 
     def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for bucket in {r[0] for r in rows}:
-            own = [r for r in rows if r[0] == bucket]
+            own = [r for r in rows if r[0] == bucket] if bucket in shards else []
             a, aa = (np.array([r[k] for r in own], np.int64) for k in (1, 2))
+            blocks = [(at, *text_pieces([r[3] for r in own[at : at + BLOCK]])) for at in range(0, len(own), BLOCK)]
             for k in range(shards.get(bucket, 0)):
                 loaded = load_shard(path, bucket, k)
                 if loaded is None:
                     continue
                 shard, b, ab = loaded
-                for at in range(0, len(own), BLOCK):
-                    t, e, n = search(shard, [r[3] for r in own[at : at + BLOCK]])
+                for at, *block in blocks:
+                    t, e = search(shard, *block, threshold)
                     if len(t):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at + t], aa[at + t], b[e], ab[e], n)], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at + t], aa[at + t], b[e], ab[e])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -265,7 +316,7 @@ def matched_classes(training: DataFrame, path: str, shards: dict[int, int]) -> D
         yield from found(rows)
 
     bucket = F.pmod(F.xxhash64("kind"), F.lit(TYPE_BUCKETS)).cast("int")
-    return training.select(bucket.alias("bucket"), "cls", "alt", "text").mapInArrow(run, "a long, aa long, b long, ab long, covered long")
+    return training.select(bucket.alias("bucket"), "tcls", "talt", "text").mapInArrow(run, "a long, aa long, b long, ab long")
 
 
 def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train") -> DataFrame:
@@ -275,28 +326,42 @@ def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train") ->
     ``split`` and ``source`` are those of the other record; ``same`` says that all four fields are equal when folded.
     """
     records = stage(split_records(df, train), "split-records")
-    heads = records.where("head")
-    path, shards = write_index(heads.where("NOT train"))
-    a = heads.where("train")
-    b = heads.where("NOT train")
-    equal = a.select("cls", "alt").join(b.select("cls", "alt"), ["cls", "alt"], "left_semi").select(F.col("cls").alias("a"), F.col("alt").alias("aa"), F.col("cls").alias("b"), F.col("alt").alias("ab"))
-    near = matched_classes(a, path, shards).select("a", "aa", "b", "ab").where("a <> b OR aa <> ab")
+    texts = records.where("thead")
+    a = texts.where("train")
+    b = texts.where("NOT train")
+    path, shards = write_index(b, threshold)
+    equal = a.select("tcls", "talt").join(b.select("tcls", "talt"), ["tcls", "talt"], "left_semi").select(F.col("tcls").alias("a"), F.col("talt").alias("aa"), F.col("tcls").alias("b"), F.col("talt").alias("ab"))
+    near = matched_classes(a, path, shards, threshold).where("a <> b OR aa <> ab")
     candidates = stage(near.distinct(), "overlap-candidates")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, list]]]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 r = whole.slice(at, BLOCK)
-                col = {n: r.column(i).to_pylist() for i, n in enumerate(r.schema.names)}
-                missing = np.array([(x is None) + (y is None) for x, y in zip(col["ca"], col["cb"])])
-                alike = likeness([x or "" for x in col["ca"]], [x or "" for x in col["cb"]]) >= threshold
-                good = (likeness(col["ta"], col["tb"]) >= threshold) & np.where(missing == 0, alike, missing == 2) & (np.array(col["ka"]) == np.array(col["kb"]))
-                yield r.filter(pa.array(good, pa.bool_())).select(["a", "aa", "b", "ab"])
-
-    left = a.select(F.col("cls").alias("a"), F.col("alt").alias("aa"), F.col("kind").alias("ka"), F.col("text").alias("ta"), F.col("criteria").alias("ca"))
-    right = b.select(F.col("cls").alias("b"), F.col("alt").alias("ab"), F.col("kind").alias("kb"), F.col("text").alias("tb"), F.col("criteria").alias("cb"))
-    checked = candidates.join(left, ["a", "aa"]).join(right, ["b", "ab"]).select("a", "aa", "ka", "ta", "ca", "b", "ab", "kb", "tb", "cb").mapInArrow(check, "a long, aa long, b long, ab long")
-    pairs = checked.unionByName(equal).distinct()
+                yield r, {n: r.column(i).to_pylist() for i, n in enumerate(r.schema.names)}
+
+    def check_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, col in blocks(batches):
+            good = (likeness(col["ta"], col["tb"]) >= threshold) & (np.array(col["ka"]) == np.array(col["kb"]))
+            yield r.filter(pa.array(good, pa.bool_())).select(["a", "aa", "b", "ab"])
+
+    def check_criteria(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, col in blocks(batches):
+            missing = np.array([(x is None) + (y is None) for x, y in zip(col["criteria_a"], col["criteria_b"])])
+            alike = likeness([x or "" for x in col["criteria_a"]], [x or "" for x in col["criteria_b"]]) >= threshold
+            yield r.filter(pa.array(np.where(missing == 0, alike, missing == 2), pa.bool_())).select(["a", "aa", "b", "ab"])
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(F.col("tcls").alias(x), F.col("talt").alias(f"a{x}"), F.col("kind").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
+
+    def classes(train_side: bool, x: str) -> DataFrame:
+        heads = records.where("head").where(F.col("train") == train_side)
+        return heads.select(F.col("tcls").alias(f"t{x}"), F.col("talt").alias(f"ta{x}"), F.col("cls").alias(x), F.col("alt").alias(f"a{x}"), F.col("criteria").alias(f"criteria_{x}"))
+
+    checked = candidates.join(side(a, "a"), ["a", "aa"]).join(side(b, "b"), ["b", "ab"]).select("a", "aa", "ka", "ta", "b", "ab", "kb", "tb").mapInArrow(check_texts, "a long, aa long, b long, ab long")
+    alike = checked.unionByName(equal).distinct().toDF("ta", "taa", "tb", "tab")
+    of_records = alike.join(classes(True, "a"), ["ta", "taa"]).join(classes(False, "b"), ["tb", "tab"])
+    pairs = of_records.select("a", "aa", "criteria_a", "b", "ab", "criteria_b").mapInArrow(check_criteria, "a long, aa long, b long, ab long").distinct()
     train_ids = records.where("train").select(F.col("id").alias("train_id"), F.col("cls").alias("a"), F.col("alt").alias("aa")).distinct()
     eval_ids = records.where("NOT train").select(F.col("id").alias("eval_id"), "split", "source", F.col("cls").alias("b"), F.col("alt").alias("ab")).distinct()
     same = (F.col("a") == F.col("b")) & (F.col("aa") == F.col("ab"))
