@@ -231,3 +231,13 @@ def test_overlaps_with_edits_spread_evenly(spark):
             want.add((f"t{i}", f"e{i}"))
     got = {(r["train_id"], r["eval_id"]) for r in over.overlapping(spark.createDataFrame(rows, CASES).repartition(3)).collect()}
     assert got == want and len(want) > 200
+
+
+def test_overlaps_in_a_hot_family(spark):
+    text = "この短い文は何度も現れますか、はいかいいえで"
+    criteria = lambda i: json.dumps({"rule": f"number {i} of the many rules that this family has"})
+    rows = [(f"e{i}", "choice", text, None, criteria(i), "dev", "s", 1, "") for i in range(1500)] + [(f"n{i}", "choice", f"{i % 10}{text}", None, criteria(i), "test", "s", 1, "") for i in range(1500)]
+    rows += [("t0", "choice", text, None, criteria(7777), "train", "s", 1, ""), ("t1", "choice", text + "か", None, criteria(8888), "train", "s", 1, ""), ("t2", "choice", text, None, None, "train", "s", 1, "")]
+    found = over.overlapping(spark.createDataFrame(rows, CASES).repartition(3)).collect()
+    got = {(r["train_id"], r["eval_id"]) for r in found}
+    assert len(found) == len(got) and got == {(t, r[0]) for t in ("t0", "t1") for r in rows[:3000]}
