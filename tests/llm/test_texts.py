@@ -192,3 +192,14 @@ def test_registered_queries(spark):
         df = every[name](spark, str(FOLDER))
         assert df.columns == columns.get(name, df.columns)
         assert df.count() >= (name == "p6_ids")
+
+
+def test_copies_of_a_whole_text_are_not_cut(spark):
+    rng = random.Random(12)
+    words = ["crate", "ledger", "lamp", "gauge", "cover", "window", "bridge", "garden"]
+    sentence = lambda: f"The {rng.choice(words)} near the {rng.choice(words)} was {rng.choice(['moved', 'checked', 'closed'])} by Marvirel in {rng.randrange(2000, 2030)}."
+    rows = [(i, " ".join(sentence() for _ in range(rng.randrange(2, 6))), "en", "mail", 0, "") for i in range(3000)]
+    hot = "The garden near the lamp was closed by Tolquon. Quarterly bulletins go to every member of the league."
+    rows += [(10_000 + i, hot + " " * (i % 3), "en", "mail", 0, "") for i in range(3000)]
+    judged = truncation.truncated(spark.createDataFrame(rows, DOCS).repartition(4)).groupBy(F.col("doc_id") >= 10_000).agg(F.count("*").alias("n"), F.count_if("cut").alias("cut")).collect()
+    assert {(r["n"], r["cut"]) for r in judged} == {(3000, 0)}

@@ -29,6 +29,8 @@ from ..plans.staging import stage
 
 ORDER = 12
 BLOCK = 500
+#: Texts that a task remembers as already seen before it starts afresh.
+REMEMBERED = 500_000
 FILTER_BITS = 22
 #: Weight of the shorter context in that of the longer one.
 KAPPA = 100.0
@@ -133,6 +135,11 @@ def trimmed(text: str) -> str:
     return TAIL.sub("", text.rstrip()) if text else ""
 
 
+def _same(text: str) -> int:
+    """64 bits of a text, signed."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], col: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[str]]]:
     """Blocks of rows whose trimmed text isn't empty."""
     for whole in batches:
@@ -155,7 +162,7 @@ def final_contexts(docs: DataFrame) -> DataFrame:
             order = np.argsort(row, kind="stable")
             values = np.concatenate([h for _, h in found])[order].view(np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]), pa.int32())
-            same = pa.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64())
+            same = pa.array([_same(t) for t in texts], pa.int64())
             rows = b.take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), same, pa.array([len(t) for t in texts], pa.int32()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values))], names)
 
@@ -187,8 +194,24 @@ def bitmap(known: DataFrame) -> np.ndarray:
     return np.unpackbits(bits).astype(bool)
 
 
+def different_texts(docs: DataFrame) -> DataFrame:
+    """``(text)``: every trimmed text once, however often it is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, _, texts in _blocks(batches, 0):
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            new = {h: t for t in texts if (h := _same(t)) not in seen}
+            seen |= new.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.string())], ["same", "text"])
+
+    return docs.select("text").mapInArrow(run, "same long, text string").groupBy("same").agg(F.first("text").alias("text")).select("text")
+
+
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(ctx, n, lines)``: how often contexts that pass the filter stand anywhere in the texts, and at a line's end."""
+    """``(ctx, n, lines)``: how often contexts that pass the filter stand anywhere in the different texts, and at a
+    line's end."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,24 +224,24 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             at_line = (every[new] & _U(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((every[new] & ~_U(1)).view(np.int64)), pa.array(n, pa.int64()), pa.array(n * at_line, pa.int64())], ["ctx", "n", "lines"])
 
-    return docs.select("text").mapInArrow(run, "ctx long, n long, lines long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
+    return different_texts(docs).mapInArrow(run, "ctx long, n long, lines long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
 
 
 def end_odds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """``(doc_id, source, lang, chars, bytes, log_odds)`` of every text that isn't blank: of ending where it does
-    against going on."""
+    """``(doc_id, source, lang, same, chars, bytes, log_odds)`` of every text that isn't blank: of ending where it does
+    against going on; ``same`` are 64 bits of the text."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     ends = stage(final_contexts(slim), "ends")
     known = stage(endings(ends), "endings")
     model = stage(known.join(occurrences(slim, bitmap(known)), "ctx"), "end-model")
-    n, total = ends.agg(F.count("*"), F.sum("chars")).first()
+    n, total = ends.groupBy("same").agg(F.first("chars").alias("chars")).agg(F.count("*"), F.sum("chars")).first()
     base = (n or 0) / max(total or 0, 1)
     looked = ends.select("doc_id", F.posexplode("ctx").alias("order", "ctx")).distinct().join(model, "ctx")
     per_text = looked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "ends", "n", "lines"))).alias("seen"))  # ORDER entries at most
     smooth = lambda p, x: F.least(F.lit(1.0), (x["ends"] - 1 + LINE * x["lines"] + KAPPA * p) / (x["n"] - 1 + KAPPA))
-    scored = ends.drop("same", "ctx").distinct().join(per_text, "doc_id", "left")
+    scored = ends.drop("ctx").distinct().join(per_text, "doc_id", "left")
     p = F.aggregate(F.coalesce("seen", F.array().cast("array<struct<order:int,ends:bigint,n:bigint,lines:bigint>>")), F.lit(base), smooth)
-    kept = ["doc_id", "source", "lang", "chars", "bytes"]
+    kept = ["doc_id", "source", "lang", "same", "chars", "bytes"]
     return scored.select(*kept, p.alias("p")).select(*kept, F.log(F.col("p") / F.greatest(F.lit(1e-9), 1 - F.col("p"))).alias("log_odds"))
 
 
@@ -259,11 +282,12 @@ def limits(odds: DataFrame) -> DataFrame:
 def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """``(doc_id, source, lang, log_odds, threshold, at_limit, cut)`` of every text that isn't blank."""
     odds = stage(end_odds(docs, doc_id, text, source, lang).withColumn("lang", language(F.col("lang"))), "end-odds")
-    piled = limits(odds)
+    once = odds.dropDuplicates(["lang", "source", "same"])
+    piled = limits(odds.dropDuplicates(["source", "same"]))
     at = odds.select("doc_id", "source", "chars", F.ceil(F.col("bytes") / 4).cast("int").alias("fours"))
     hits = [at.join(piled.where(F.col("unit") == u).select(F.col("source").alias("s"), "size"), F.col("source").eqNullSafe(F.col("s")) & (F.col(c) == F.col("size"))).select("doc_id") for u, c in (("chars", "chars"), ("bytes", "fours"))]
     at_limit = hits[0].unionByName(hits[1]).distinct().withColumn("at_limit", F.lit(True))
-    rules = thresholds(odds).select(F.col("lang").alias("l"), F.col("source").alias("s"), "threshold")
+    rules = thresholds(once).select(F.col("lang").alias("l"), F.col("source").alias("s"), "threshold")
     judged = odds.join(rules, (F.col("lang") == F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).join(at_limit, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     bar = F.col("threshold") + F.when(F.col("at_limit"), AT_LIMIT).otherwise(0.0)
     return judged.select("doc_id", "source", "lang", "log_odds", "threshold", "at_limit", (F.col("log_odds") < bar).alias("cut"))
