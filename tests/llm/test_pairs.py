@@ -241,3 +241,14 @@ def test_overlaps_in_a_hot_family(spark):
     found = over.overlapping(spark.createDataFrame(rows, CASES).repartition(3)).collect()
     got = {(r["train_id"], r["eval_id"]) for r in found}
     assert len(found) == len(got) and got == {(t, r[0]) for t in ("t0", "t1") for r in rows[:3000]}
+
+
+def test_near_pairs_in_a_hot_template(spark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    template = draw(90)
+    rows = [(f"h{i:03d}", template + draw(rng.randrange(20, 30)), None) for i in range(80)] + [(f"x{i:03d}", draw(115), None) for i in range(160)]
+    want = {(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if like(a[1], b[1]) >= 0.6}
+    got = {tuple(r) for r in near.near_duplicate_pairs(spark.createDataFrame(rows, "id string, state string, instructions string").repartition(3)).collect()}
+    assert got <= want and len(want) > 1000 and len(got) >= 0.97 * len(want)
