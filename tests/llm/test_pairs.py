@@ -252,3 +252,20 @@ def test_near_pairs_in_a_hot_template(spark):
     want = {(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if like(a[1], b[1]) >= 0.6}
     got = {tuple(r) for r in near.near_duplicate_pairs(spark.createDataFrame(rows, "id string, state string, instructions string").repartition(3)).collect()}
     assert got <= want and len(want) > 1000 and len(got) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("depth", [500, 900, 1500, 5000])
+def test_deeply_nested_json(depth):
+    deep = lambda inner: "[" * depth + inner + "]" * depth
+    record = {"type": "x", "instructions": None, "state": deep('"A"'), "criteria": deep('{"b": 1, "a": "Y"}')}
+    other = record | {"state": deep(' "a!"'), "criteria": deep('{"a": "y", "b": 1}')}
+    f = fmt.Fields()
+    assert fmt.fingerprint(record, f) == fmt.fingerprint(other, f) and fmt.same_fields(record, other, f)
+    assert not fmt.same_fields(record, record | {"criteria": deep('{"b": 2, "a": "Y"}')}, f)
+
+
+@pytest.mark.parametrize("depth", [10_000, 50_000])
+def test_json_beyond_the_parser_is_text(depth):
+    record = {"type": "x", "instructions": None, "state": "[" * depth + '"A"' + "]" * depth, "criteria": None}
+    other, f = record | {"state": "[" * depth + ' "a!"' + "]" * depth}, fmt.Fields()
+    assert fmt.fingerprint(record, f) == fmt.fingerprint(other, f) and fmt.same_fields(record, other, f)

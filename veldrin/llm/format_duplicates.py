@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -72,13 +72,27 @@ def _h(tag: bytes, text: str = "") -> int:
     return xxhash.xxh3_128_intdigest(tag + text.encode("utf-8", "surrogatepass"))
 
 
-def value_hash(v: object) -> int:
-    """128 bits of a parsed JSON value with folded strings; an object's pairs are added up."""
+def inside_out(v: object, combine: Callable[[object, list[int]], int]) -> int:
+    """``combine`` of a parsed value and of what it gave for the values right inside, from the innermost ones on;
+    without recursion, since the parser takes deeper values than Python functions could walk."""
+    every, begins = [v], []
+    for x in every:
+        begins.append(len(every))
+        if isinstance(x, list):
+            every.extend((y for _, y in x) if isinstance(x, _Object) else x)
+    out = [0] * len(every)
+    for i in range(len(every) - 1, -1, -1):
+        x = every[i]
+        out[i] = combine(x, out[begins[i] : begins[i] + len(x)] if isinstance(x, list) else [])
+    return out[0]
+
+
+def _hashed(v: object, inner: list[int]) -> int:
     if isinstance(v, _Object):
-        total = sum(xxhash.xxh3_128_intdigest(_h(b"k", fold(k)).to_bytes(16, "big") + value_hash(x).to_bytes(16, "big")) for k, x in v)
+        total = sum(xxhash.xxh3_128_intdigest(_h(b"k", fold(k)).to_bytes(16, "big") + x.to_bytes(16, "big")) for (k, _), x in zip(v, inner))
         return xxhash.xxh3_128_intdigest(b"o" + (total & _ALL).to_bytes(16, "big"))
     if isinstance(v, list):
-        return xxhash.xxh3_128_intdigest(b"a" + b"".join(value_hash(x).to_bytes(16, "big") for x in v))
+        return xxhash.xxh3_128_intdigest(b"a" + b"".join(x.to_bytes(16, "big") for x in inner))
     if isinstance(v, _Number):
         return _h(b"n", v)
     if isinstance(v, str):
@@ -86,15 +100,27 @@ def value_hash(v: object) -> int:
     return _h(b"c", {True: "true", False: "false", None: "null"}[v])
 
 
-def comparable(v: object) -> object:
-    """A parsed value in a form whose equality ignores the order of keys and how strings are written."""
-    if isinstance(v, _Object):
-        return ("o", frozenset(Counter((fold(k), comparable(x)) for k, x in v).items()))
-    if isinstance(v, list):
-        return ("a", tuple(comparable(x) for x in v))
-    if isinstance(v, _Number):
-        return ("n", str(v))
-    return ("s", fold(v)) if isinstance(v, str) else ("c", v)
+def value_hash(v: object) -> int:
+    """128 bits of a parsed JSON value with folded strings; an object's pairs are added up."""
+    return inside_out(v, _hashed)
+
+
+def equal_values(a: object, b: object) -> bool:
+    """Whether two parsed values are equal but for the order of keys and how strings are written."""
+    numbers: dict[tuple, int] = {}  # equal values, whether of a or b, get the same number
+
+    def number(v: object, inner: list[int]) -> int:
+        if isinstance(v, _Object):
+            form = ("o", frozenset(Counter((fold(k), x) for (k, _), x in zip(v, inner)).items()))
+        elif isinstance(v, list):
+            form = ("a", tuple(inner))
+        elif isinstance(v, _Number):
+            form = ("n", str(v))
+        else:
+            form = ("s", fold(v)) if isinstance(v, str) else ("c", v)
+        return numbers.setdefault(form, len(numbers))
+
+    return inside_out(a, number) == inside_out(b, number)
 
 
 def _field(kind: str, text: str | None) -> tuple[str, object]:
@@ -125,7 +151,7 @@ def same_fields(a: dict[str, str | None], b: dict[str, str | None], fields: Fiel
         if a[name] == b[name]:
             continue
         (form_a, x), (form_b, y) = _field(kind, a[name]), _field(kind, b[name])
-        if form_a != form_b or (comparable(x) != comparable(y) if form_a == "json" else x != y):
+        if form_a != form_b or (not equal_values(x, y) if form_a == "json" else x != y):
             return False
     return True
 
