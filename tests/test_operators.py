@@ -144,3 +144,14 @@ def test_streams_equal_batches(spark, tmp_path):
     q = first.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT count(*) AS n, count(DISTINCT run_no) AS d FROM firsts").first() == (20, 20)
+
+
+def test_stream_counts_late_files(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(i, "e", True, True, datetime(2025, 1, 1) + timedelta(hours=i * 7919 % 2160), datetime(2025, 4, 1)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "run_no long, engine string, valid boolean, correct boolean, started_at timestamp, received_at timestamp")
+    df.repartition(12).write.parquet(str(tmp_path / "in"))
+    got = progress.drained(progress.daily_progress(progress.answer_stream(spark, str(tmp_path / "in"), 4)), ["day", "engine"])
+    want = df.groupBy(F.date_format("started_at", "yyyy-MM-dd").alias("day"), "engine").agg(F.count("*").alias("n"), F.count_if(F.col("valid") & F.col("correct")).alias("correct"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
