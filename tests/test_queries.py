@@ -53,3 +53,17 @@ def test_query_equals_sql(spark, duck, name):
 def test_query_without_sql_runs(spark, name):
     rows = QUERIES[name](spark, str(FOLDER)).count()
     assert rows == 0 if name == "export_round_trip" else rows > 0
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
+def test_linear_head_runs_the_whole_search(spark, monkeypatch):
+    asked = {}
+
+    def remember(rows, candidates, features, **settings):
+        asked.update(settings)
+        return train_head(rows, candidates, features, epochs=0)
+
+    train_head = catalogue.train_head
+    monkeypatch.setattr(catalogue, "train_head", remember)
+    assert QUERIES["linear_head"](spark, str(FOLDER)).count() > 0
+    assert asked["epochs"] == 120 and len(asked["rates"]) == len(asked["penalties"]) == 2

@@ -727,7 +727,7 @@ def linear_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.transform("embedding", lambda v: v.cast("double"))
     dev = (F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0).alias("dev")
     rows = stage(table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), F.array_repeat(F.lit(0.0), 10).alias("z"), F.col("label").alias("gold"), dev), "features")
-    head = train_head(rows, 10, 64)
+    head = train_head(rows, 10, 64, rates=(0.001, 0.003), penalties=(0.01, 0.1), epochs=120)
     w = F.array(*(F.array(*map(F.lit, r)) for r in head.weights.tolist()))
     logits = F.zip_with(F.transform(w, lambda r: D.dot(r, F.col("x"))), F.array(*map(F.lit, head.bias.tolist())), lambda a, b: a + b)
     scored = rows.select(F.when(F.col("dev"), "dev").otherwise("train").alias("part"), "gold", D.softmax(logits).alias("p"))
