@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldrin.operators import arranging as A
+from veldrin.functions import strict_json
 from veldrin.operators import audits
 from veldrin.operators.shred import children, entities, entity_table, json_nodes, shred
 from veldrin.sources import exports, jsonl
@@ -155,3 +156,38 @@ def test_stream_counts_late_files(spark, tmp_path):
     got = progress.drained(progress.daily_progress(progress.answer_stream(spark, str(tmp_path / "in"), 4)), ["day", "engine"])
     want = df.groupBy(F.date_format("started_at", "yyyy-MM-dd").alias("day"), "engine").agg(F.count("*").alias("n"), F.count_if(F.col("valid") & F.col("correct")).alias("correct"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_dotted_keys_keep_their_links(spark):
+    rows = [(1, json.dumps({"a": {"b": {"x": 1}}, "a.b": {"y": 2}, "~1": [{"c.d": [{"z": 3}]}], "": {"": 4}}), {"p.q": ("one",), "p": ("two",)})]
+    df = spark.createDataFrame(rows, "i int, s string, m map<string,struct<`q.r`:string>>").select("i", F.struct("s").alias("q"), "m")
+    nodes = shred(df, "i", ["q", "m"], ["q.s"])
+    every = nodes.collect()
+    names = {r["node"] for r in every}
+    assert len(names) == len(every) and all(r["parent"] is None or r["parent"] in names for r in every)
+    fields = {r["node"]: r["fields"] for r in entities(nodes, "i").collect()}
+    assert fields["q.s.a.b"] == {"x": "1"} and fields["q.s.a~1b"] == {"y": "2"} and fields["q.s."] == {"": "4"} and fields["m.p~1q"] == {"q.r": "one"}
+    assert {r["child_key"] for r in children(nodes, "i", ["m"], ["q.s"]).collect()} == {"~1.0", "~1.0.c.d.0", "p.q", "p"}
+
+
+@pytest.mark.parametrize("depth", [600, 5000, 50_000])
+def test_json_of_any_depth(depth):
+    nodes = json_nodes("[" * depth + '{"a": 1}' + "]" * depth)
+    assert len(nodes) == depth + 2 and nodes[depth][6] == ".".join("0" * depth) and nodes[-1][-1] == "1"
+    assert len({n[0] for n in nodes}) == len(nodes) and max(len(n[0]) for n in nodes) <= 520
+
+
+@pytest.mark.parametrize("text", ["[1,]", "[1 2]", '{"a" 1}', '{"a": 1,}', "[", "]", "{]", "[NaN]", "[01]", '["\n"]', "[1] x", "", "nul", '{1: 2}', "[,]"])
+def test_the_reader_with_a_stack_refuses_what_the_library_does(text):
+    with pytest.raises(ValueError):
+        strict_json._stacked(text, dict, strict_json.Number)
+    with pytest.raises(ValueError):
+        strict_json.read(text)
+
+
+def test_the_reader_with_a_stack_reads_what_the_library_does():
+    texts = ["[]", "{}", " [1, -2.50e3, true, null, \"x\\u00e9\\\"\"] ", '{"a": {"b": [[], {}]}, "a": 2}', "7", '"s"']
+    for t in texts:
+        want = json.loads(t)
+        assert strict_json._stacked(t, dict, json.loads) == want == strict_json.read(t, dict, json.loads)
+        assert strict_json.sorted_text(want) == json.dumps(want, sort_keys=True, ensure_ascii=False)

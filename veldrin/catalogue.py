@@ -644,9 +644,9 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Audit records: the adjacency table and what comes of it
 
 
-def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adjacency table of the audit records."""
-    return shred(table(spark, sf_dir, "raw"), "raw_id", ["question", "request", "result"], ["question.state"])
+def raw_nodes(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> DataFrame:
+    """The adjacency table of the audit records, or what of it leads to and lies below some paths."""
+    return shred(table(spark, sf_dir, "raw"), "raw_id", ["question", "request", "result"], ["question.state"], only)
 
 
 @query("""
@@ -661,7 +661,8 @@ def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE s IS NOT NULL AND t.type = 'OBJECT' AND fullkey LIKE '%]'
 """)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return children(raw_nodes(spark, sf_dir), "raw_id", ["question.criteria", "request.messages", "result.probabilities"], ["question.state"])
+    asked = ["question.criteria.[]", "request.messages.[]", "result.probabilities.[]", "question.state"]
+    return children(raw_nodes(spark, sf_dir, asked), "raw_id", ["question.criteria", "request.messages", "result.probabilities"], ["question.state"])
 
 
 @query()
@@ -679,12 +680,13 @@ def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT raw_id, unnest(request.messages) AS x, generate_subscripts(request.messages, 1) - 1 AS i FROM raw) WHERE x IS NOT NULL
 """)
 def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_table(raw_nodes(spark, sf_dir), "raw_id", "request.messages.[]", {"role": "string", "content": "string"})
+    return entity_table(raw_nodes(spark, sf_dir, ["request.messages.[]"]), "raw_id", "request.messages.[]", {"role": "string", "content": "string"})
 
 
 @query("SELECT raw_id, 'result' AS node, CAST(NULL AS VARCHAR) AS parent, 2 AS ordinal, result.type AS type, result.label AS label, result.confidence AS confidence, result.input_tokens AS input_tokens, result.latency_ms AS latency_ms FROM raw WHERE result IS NOT NULL")
 def p4_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_table(raw_nodes(spark, sf_dir), "raw_id", "result", {"type": "string", "label": "string", "confidence": "double", "input_tokens": "int", "latency_ms": "double"})
+    columns = {"type": "string", "label": "string", "confidence": "double", "input_tokens": "int", "latency_ms": "double"}
+    return entity_table(raw_nodes(spark, sf_dir, [f"result.{c}" for c in columns]), "raw_id", "result", columns)
 
 
 # Plain relational shapes

@@ -23,10 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back: later jobs start here, also after a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
