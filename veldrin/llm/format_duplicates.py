@@ -11,7 +11,6 @@ count as often as they stand. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folding import fold
+from ..functions.strict_json import Number, read
 from ..plans.staging import stage
 
 _ALL = (1 << 128) - 1
@@ -42,28 +42,17 @@ class Fields:
         return (*self.plain, *self.mixed, *self.structured)
 
 
-class _Number(str):
-    """A number as its JSON text."""
-
-
 class _Object(list):
     """The pairs of a JSON object in the order in which they are written."""
 
 
-def _refuse(name: str) -> None:
-    raise ValueError(name)
-
-
-_DECODER = json.JSONDecoder(object_pairs_hook=_Object, parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
-
-
 def parse(text: str, scalars: bool) -> object | None:
     """A JSON object or array (with ``scalars`` any JSON value) of a text in a list of one; None where it isn't one."""
     if not scalars and text.lstrip()[:1] not in ("{", "["):
         return None
     try:
-        value = _DECODER.decode(text.strip())
-    except (ValueError, RecursionError):
+        value = read(text.strip(), _Object)
+    except ValueError:
         return None
     return [value] if scalars or isinstance(value, list) else None
 
@@ -74,7 +63,7 @@ def _h(tag: bytes, text: str = "") -> int:
 
 def inside_out(v: object, combine: Callable[[object, list[int]], int]) -> int:
     """``combine`` of a parsed value and of what it gave for the values right inside, from the innermost ones on;
-    without recursion, since the parser takes deeper values than Python functions could walk."""
+    without recursion, since values may be nested as deeply as they like."""
     every, begins = [v], []
     for x in every:
         begins.append(len(every))
@@ -93,7 +82,7 @@ def _hashed(v: object, inner: list[int]) -> int:
         return xxhash.xxh3_128_intdigest(b"o" + (total & _ALL).to_bytes(16, "big"))
     if isinstance(v, list):
         return xxhash.xxh3_128_intdigest(b"a" + b"".join(x.to_bytes(16, "big") for x in inner))
-    if isinstance(v, _Number):
+    if isinstance(v, Number):
         return _h(b"n", v)
     if isinstance(v, str):
         return _h(b"s", fold(v))
@@ -114,7 +103,7 @@ def equal_values(a: object, b: object) -> bool:
             form = ("o", frozenset(Counter((fold(k), x) for (k, _), x in zip(v, inner)).items()))
         elif isinstance(v, list):
             form = ("a", tuple(inner))
-        elif isinstance(v, _Number):
+        elif isinstance(v, Number):
             form = ("n", str(v))
         else:
             form = ("s", fold(v)) if isinstance(v, str) else ("c", v)
