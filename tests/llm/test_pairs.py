@@ -254,7 +254,7 @@ def test_near_pairs_in_a_hot_template(spark):
     assert got <= want and len(want) > 1000 and len(got) >= 0.97 * len(want)
 
 
-@pytest.mark.parametrize("depth", [500, 900, 1500, 5000])
+@pytest.mark.parametrize("depth", [500, 900, 1500, 5000, 20_000, 50_000])
 def test_deeply_nested_json(depth):
     deep = lambda inner: "[" * depth + inner + "]" * depth
     record = {"type": "x", "instructions": None, "state": deep('"A"'), "criteria": deep('{"b": 1, "a": "Y"}')}
@@ -264,8 +264,28 @@ def test_deeply_nested_json(depth):
     assert not fmt.same_fields(record, record | {"criteria": deep('{"b": 2, "a": "Y"}')}, f)
 
 
-@pytest.mark.parametrize("depth", [10_000, 50_000])
-def test_json_beyond_the_parser_is_text(depth):
-    record = {"type": "x", "instructions": None, "state": "[" * depth + '"A"' + "]" * depth, "criteria": None}
-    other, f = record | {"state": "[" * depth + ' "a!"' + "]" * depth}, fmt.Fields()
-    assert fmt.fingerprint(record, f) == fmt.fingerprint(other, f) and fmt.same_fields(record, other, f)
+def test_near_pairs_where_one_template_is_in_most_rows(spark):
+    rng = random.Random(21)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    template = draw(100)
+    rows = [(f"h{i:04d}", template + draw(rng.randrange(8, 21)), None) for i in range(1000)] + [(f"x{i:04d}", draw(115), None) for i in range(1000)]
+    sizes = {i: len(pieces(t)) for i, t, _ in rows[:1000]}
+    common = {t[-24:-20] for _, t, _ in rows[:1]}  # only the template is shared, so that sizes give the likeness
+    assert common
+    shared = len(pieces(template))
+    want = {(a, b) for k, a in enumerate(sorted(sizes)) for b in sorted(sizes)[k + 1 :] if shared / (sizes[a] + sizes[b] - shared) >= 0.6}
+    df = spark.createDataFrame(rows, "id string, state string, instructions string")
+    got = {tuple(r) for r in near.near_duplicate_pairs(df.repartition(8)).toPandas().itertuples(index=False)}
+    assert len(want) > 400_000 and len(got & want) >= 0.99 * len(want)
+
+
+def test_partitions_do_not_change_the_pairs(df):
+    one, eight, many = (sorted(map(tuple, near.near_duplicate_pairs(df.repartition(n)).collect())) for n in (1, 8, 64))
+    assert one == eight == many
+
+
+def test_a_popular_text_is_one_row(spark):
+    rows = [(f"h{i:04d}", f"this popular text stands everywhere in the table {i % 2}", None) for i in range(400)]
+    records = near.staged_records(near.folded_records(spark.createDataFrame(rows, "id string, state string, instructions string").repartition(16), "id", "state", ["instructions"]))
+    assert records.where("head").count() > 2 == near.one_head(records).count()

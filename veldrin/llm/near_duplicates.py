@@ -1,7 +1,7 @@
 """Near-equal records: ProbMinHash signatures, banding, and an exact check of every candidate.
 
 Texts are cut into distinct three-character pieces whose weights rise from 1 to ``RATIO`` with their inverse document
-frequencies over the whole table, so that a plain likeness bounds the weighted one that bands work on. Equal texts are one class; classes are compared, and ids come back by joins at the end.
+frequencies over the whole table, so that a plain likeness bounds the weighted one that bands work on. Equal texts are one class, which is one row from the bands on; classes are compared, and ids come back by joins at the end.
 
 Nulls: a record without an id, or whose required text folds to nothing, never counts; other null texts count
 as empty. Repeated rows are one record. An empty table gives an empty result.
@@ -22,14 +22,16 @@ from ..functions.folding import fold_codes, likeness, mix, piece_keys, pieces, t
 from ..plans.staging import stage
 
 REGISTERS = 64
-#: 64-bit words that hold four bits of each register.
-WORDS = REGISTERS // 16
+#: 64-bit words that hold two bits of each register.
+WORDS = REGISTERS // 32
 BUCKETS = 1 << 16
 #: Largest weight of a piece against the smallest.
 RATIO = 1.2
 BLOCK = 2000
 #: Classes that a task remembers as already seen before it starts afresh.
 REMEMBERED = 500_000
+#: Classes seen by several tasks up to which they are broadcast to all rows; beyond it they are joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 
 _U = np.uint64
 
@@ -68,6 +70,23 @@ def folded_records(df: DataFrame, id_col: str, required: str, others: Sequence[s
     return df.select(*cols).mapInArrow(run, "id string, cls long, alt long, head boolean, text string")
 
 
+def one_head(records: DataFrame, head: str = "head", key: Sequence[str] = ("cls", "alt")) -> DataFrame:
+    """Of staged ``records`` with ``rid``, a row number, the first of the ``head`` rows of each class.
+
+    Tasks mark heads on their own, so that a popular text has as many as there are tasks. Only classes with several
+    heads are looked at again: by their hashes, without their texts.
+    """
+    heads = records.where(head)
+    several = stage(heads.groupBy(*key).agg(F.min("rid").alias("_keep"), F.max("rid").alias("_last")).where("_keep <> _last").drop("_last"), "repeated-heads")
+    known = F.broadcast(several) if several.count() <= BROADCAST_CLASSES else several
+    return heads.join(known, list(key), "left").where("_keep IS NULL OR rid = _keep").drop("_keep")
+
+
+def staged_records(records: DataFrame) -> DataFrame:
+    """``records`` written once, with ``rid``, a row number of its own for each row."""
+    return stage(records.withColumn("rid", F.monotonically_increasing_id()), "records")
+
+
 def _elements(texts: list[str]) -> np.ndarray:
     return piece_keys(*pieces(*to_codes(texts)))
 
@@ -124,7 +143,7 @@ def signatures(keys: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
 
 
 def band_rows(texts: DataFrame, weights: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """``(key, cls, s0, s1, s2, s3)``: one row for each band of each text; ``s0`` to ``s3`` hold four bits of every register."""
+    """``(key, cls, s0, s1)``: one row for each band of each text; ``s0`` and ``s1`` hold two bits of every register."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the table's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +154,8 @@ def band_rows(texts: DataFrame, weights: np.ndarray, bands: int, rows: int) -> D
                 block = texts[at : at + BLOCK]
                 sig = signatures(_elements(block), len(block), shared.value)
                 scattered = mix(sig)
-                four = (scattered >> _U(60)).reshape(len(block), WORDS, 16) << (4 * np.arange(16)).astype(_U)
-                words = [pa.array(w) for w in four.sum(axis=2, dtype=_U).view(np.int64).T.copy()]
+                two = (scattered >> _U(62)).reshape(len(block), WORDS, 32) << (2 * np.arange(32)).astype(_U)
+                words = [pa.array(w) for w in two.sum(axis=2, dtype=_U).view(np.int64).T.copy()]
                 cls = classes[at : at + BLOCK]
                 for band in range(bands):
                     key = np.full(len(block), band + 1, _U)
@@ -148,14 +167,13 @@ def band_rows(texts: DataFrame, weights: np.ndarray, bands: int, rows: int) -> D
 
 
 def _differing(a: str, b: str) -> Column:
-    """Registers whose four bits differ, of the 16 in a word."""
+    """Registers whose two bits differ, of the 32 in a word."""
     x = F.col(a).bitwiseXOR(F.col(b))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x1111111111111111)))
+    return F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
 
 
 def candidate_pairs(bands: DataFrame, most_differing: int) -> DataFrame:
-    """``(a, b)``: classes that share a band and whose four-bit registers do not rule them out."""
+    """``(a, b)``: classes that share a band and whose two-bit registers do not rule them out."""
     left = bands.select("key", F.col("cls").alias("a"), *(F.col(f"s{k}").alias(f"a{k}") for k in range(WORDS)))
     right = bands.select("key", F.col("cls").alias("b"), *(F.col(f"s{k}").alias(f"b{k}") for k in range(WORDS)))
     differing = functools.reduce(Column.__add__, (_differing(f"a{k}", f"b{k}") for k in range(WORDS)))
@@ -179,16 +197,15 @@ def checked_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold
     return both.mapInArrow(run, "a long, aa long, b long, ab long").distinct()
 
 
-def class_pairs(records: DataFrame, threshold: float = 0.6, bands: int = 21, rows: int = 3, most_differing: int = 38) -> DataFrame:
+def class_pairs(records: DataFrame, threshold: float = 0.6, bands: int = 21, rows: int = 3, most_differing: int = 35) -> DataFrame:
     """``(a, aa, b, ab)``: pairs of different texts, by their two hashes, that are at least ``threshold`` alike.
 
     Recall follows from the bands: two texts whose plain likeness is t have a weighted one s of at least
     ``t / (t + RATIO * (1 - t))``, 0.556 at 0.6, and share a band with probability ``1 - (1 - s**rows)**bands``, 0.98
-    at 0.6. Of their registers ``15 / 16 * (1 - s)`` are expected to differ in four bits, at most 27 of 64 at 0.6 with a
-    deviation of 4, so that 38 rule out one such pair in a thousand.
-    Precision is exact.
+    at 0.6. Of their registers ``3 / 4 * (1 - s)`` are expected to differ in two bits, at most 21.3 of 64 at 0.6 with a
+    deviation of 3.8, so that 35 rule out one such pair in five thousand. Precision is exact. ``records`` are staged.
     """
-    heads = records.where("head")
+    heads = one_head(records)
     keyed = band_rows(heads, piece_weights(heads), bands, rows)
     found = stage(candidate_pairs(keyed, most_differing), "candidates")
     texts = heads.select("cls", "alt", "text")
@@ -209,7 +226,7 @@ def expanded(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", required: str = "state", others: Sequence[str] = ("instructions",), threshold: float = 0.6) -> DataFrame:
     """``(id_a, id_b)``: all pairs of records whose folded texts are at least ``threshold`` alike, equal ones too."""
-    records = stage(folded_records(df, id_col, required, others), "records")
+    records = staged_records(folded_records(df, id_col, required, others))
     return expanded(class_pairs(records, threshold), records)
 
 
@@ -219,7 +236,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", required: str = "st
     ``group_id`` is the smallest id of the connected group, ``copies`` the number of records with the same text,
     itself included, and ``links`` the number of other texts that are at least ``threshold`` alike.
     """
-    records = stage(folded_records(df, id_col, required, others), "records")
+    records = staged_records(folded_records(df, id_col, required, others))
     pairs = stage(class_pairs(records, threshold), "pairs")
     members = records.select("id", "cls", "alt").distinct()
     classes = stage(members.groupBy("cls", "alt").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
