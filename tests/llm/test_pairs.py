@@ -194,26 +194,46 @@ def test_overlaps_across_splits(df, rows):
     assert sum(r["pairs"] for r in report) == len(got) and all(r["same"] <= r["overlapping"] <= r["cases"] for r in report)
 
 
-def test_backward_search_counts_every_place():
+@pytest.mark.parametrize("letters", ["abcdé漢", "".join(chr(0x100 + 7 * i) for i in range(17_000))])
+def test_backward_search_counts_every_place(letters):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abcdé漢") for _ in range(rng.randrange(5, 60))) for _ in range(80)]
-    shard = over.Shard(**over.build_index(texts))
-    h, row, first, length = over.phrases(*over.to_codes(texts))
-    for start in rng.sample(range(len(h)), 40):
+    pool = [rng.choice(letters) for _ in range(6)]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 60))) for _ in range(80)] + [letters[:30_000]]
+    index = over.TextIndex(*over.to_codes(texts))
+    for t in rng.sample([t for t in texts if len(t) > 4], 40):
+        at = rng.randrange(len(t) - 4)
         for n in range(1, over.DEPTH + 1):
-            if start + n > len(h) or row[start + n - 1] != row[start]:
-                break
-            low, high = np.array([0]), np.array([shard.n])
-            for s in shard.symbols(h[start : start + n])[::-1]:
-                low, high = shard.step(np.array([s]), low, high)
-            places = [i for i in range(len(h) - n + 1) if row[i] == row[i + n - 1] and (h[i : i + n] == h[start : start + n]).all()]
-            assert sorted(shard.text[low[0] : high[0]].tolist()) == sorted(row[places].tolist())
+            symbols = index.symbols(np.array([ord(c) for c in t[at : at + n]]))
+            low, high = index.whole(symbols[-1:])
+            for s in symbols[-2::-1]:
+                low, high = index.step(np.array([s]), low, high)
+            begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+            want = sorted(begin[i] + k for i, x in enumerate(texts) for k in range(len(x) - n + 1) if x[k : k + n] == t[at : at + n])
+            assert sorted(index.order[low[0] : high[0]].tolist()) == want
+    assert index.symbols(np.array([0x1F600])).tolist() == [0]
+
+
+def test_matches_lose_no_pair_that_is_alike():
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij漢字") for _ in range(rng.randrange(3, 120))) for _ in range(40)]
+    change = lambda t: "".join(c if rng.random() > 0.05 else rng.choice("xyz") for c in t)
+    left, right = [change(rng.choice(base)) for _ in range(150)] + ["ab", ""], [change(rng.choice(base)) for _ in range(150)] + ["ab", "abc"]
+    kinds = lambda t: [len(t) % 2] * len(t)
+    x, y = over.Shard(right, kinds(right), 0.6).search(left, kinds(left))
+    got = set(zip(x.tolist(), y.tolist()))
+    assert got == {(i, j) for i, s in enumerate(left) for j, t in enumerate(right) if len(s) > 2 and len(t) > 2 and like(s, t) >= 0.6} and len(got) > 100
+
+
+def test_exact_routing_finds_every_pair(df, rows, monkeypatch):
+    monkeypatch.setattr(over, "SHARD_CHARACTERS", 900)
+    routed, every = ({(r["train_id"], r["eval_id"]) for r in over.overlapping(df, exact=e).collect()} for e in (False, True))
+    assert routed <= every and len(every) > 3 and len(routed) >= 0.97 * len(every)
 
 
 def test_shards_give_the_same(df, monkeypatch):
     whole = sorted(map(str, over.overlapping(df).collect()))
     monkeypatch.setattr(over, "SHARD_CHARACTERS", 700)
-    monkeypatch.setattr(over, "STREAM", 10)
+    monkeypatch.setattr(over, "SHARD_QUERIES", 10)
     assert sorted(map(str, over.overlapping(df).collect())) == whole
 
 
@@ -288,4 +308,4 @@ def test_partitions_do_not_change_the_pairs(df):
 def test_a_popular_text_is_one_row(spark):
     rows = [(f"h{i:04d}", f"this popular text stands everywhere in the table {i % 2}", None) for i in range(400)]
     records = near.staged_records(near.folded_records(spark.createDataFrame(rows, "id string, state string, instructions string").repartition(16), "id", "state", ["instructions"]))
-    assert records.where("head").count() > 2 == near.one_head(records).count()
+    assert records.where("head").count() > 2 == near.one_head(records, {"text": ("head", ("cls", "alt"))})["text"].count()

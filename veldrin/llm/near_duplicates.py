@@ -70,16 +70,22 @@ def folded_records(df: DataFrame, id_col: str, required: str, others: Sequence[s
     return df.select(*cols).mapInArrow(run, "id string, cls long, alt long, head boolean, text string")
 
 
-def one_head(records: DataFrame, head: str = "head", key: Sequence[str] = ("cls", "alt")) -> DataFrame:
-    """Of staged ``records`` with ``rid``, a row number, the first of the ``head`` rows of each class.
+def one_head(records: DataFrame, heads: dict[str, tuple[str, tuple[str, str]]]) -> dict[str, DataFrame]:
+    """Of staged ``records`` with ``rid``, a row number, the first head of each class, for several kinds of class at once:
+    by name, which rows are heads and the two hashes of their class.
 
     Tasks mark heads on their own, so that a popular text has as many as there are tasks. Only classes with several
     heads are looked at again: by their hashes, without their texts.
     """
-    heads = records.where(head)
-    several = stage(heads.groupBy(*key).agg(F.min("rid").alias("_keep"), F.max("rid").alias("_last")).where("_keep <> _last").drop("_last"), "repeated-heads")
-    known = F.broadcast(several) if several.count() <= BROADCAST_CLASSES else several
-    return heads.join(known, list(key), "left").where("_keep IS NULL OR rid = _keep").drop("_keep")
+    marks = [records.where(rows).select(F.lit(name).alias("_name"), F.col(key[0]).alias("_c"), F.col(key[1]).alias("_a"), "rid") for name, (rows, key) in heads.items()]
+    counted = functools.reduce(DataFrame.unionByName, marks).groupBy("_name", "_c", "_a").agg(F.min("rid").alias("_keep"), F.max("rid").alias("_last"))
+    several = stage(counted.where("_keep <> _last").drop("_last"), "repeated-heads")
+    known = F.broadcast if several.count() <= BROADCAST_CLASSES else lambda df: df
+    out = {}
+    for name, (rows, key) in heads.items():
+        own = known(several.where(F.col("_name") == name).select(F.col("_c").alias(key[0]), F.col("_a").alias(key[1]), "_keep"))
+        out[name] = records.where(rows).join(own, list(key), "left").where("_keep IS NULL OR rid = _keep").drop("_keep")
+    return out
 
 
 def staged_records(records: DataFrame) -> DataFrame:
@@ -205,7 +211,7 @@ def class_pairs(records: DataFrame, threshold: float = 0.6, bands: int = 21, row
     at 0.6. Of their registers ``3 / 4 * (1 - s)`` are expected to differ in two bits, at most 21.3 of 64 at 0.6 with a
     deviation of 3.8, so that 35 rule out one such pair in five thousand. Precision is exact. ``records`` are staged.
     """
-    heads = one_head(records)
+    heads = one_head(records, {"text": ("head", ("cls", "alt"))})["text"]
     keyed = band_rows(heads, piece_weights(heads), bands, rows)
     found = stage(candidate_pairs(keyed, most_differing), "candidates")
     texts = heads.select("cls", "alt", "text")

@@ -1,18 +1,17 @@
-"""The same or almost the same records across splits: an index of the evaluation side that loses no pair.
+"""The same or almost the same records across splits: training texts streamed through full-text indexes of evaluation texts.
 
-Equal texts of a type are one text class, whatever their criteria. The evaluation texts are laid into shards; in each
-the three-character pieces have an order, rare ones first. Two texts that are alike enough share one of the first
-pieces of both, early enough that the pieces left can still make up the likeness, so only these are indexed, and
-training texts are streamed against each shard of their type. Bits of the parity of each text's pieces then rule out
-pairs that differ in too many. All three bounds follow from the threshold. What is left is checked exactly: texts
-first, then the criteria of all records with such texts.
+Equal texts of a type are one text class, whatever their criteria. The evaluation classes are laid into shards, those
+that are alike together; a training class goes to the shards that hold a class it shares a band of minima with, or
+to all of them (``exact``), and there it is streamed through backward search on a compressed full-text index (a wavelet
+matrix over the transform of the shard's texts). Two texts that are alike enough share one of the rarest pieces of
+either, so these are looked up; pieces that stand in the same places one after another are one maximal match. The
+matches' places give the evaluation texts, whose spans are merged and counted: what a pair must share follows from
+the likeness, so that the count rules out no pair of the shard that is alike enough. What is left is checked
+exactly: texts first, then the criteria of all records with such texts.
 
-The index is written to the shared folder and read from there by tasks, one shard at a time, so neither side passes
-through the driver. Each type's training texts are compared with all its shards, whose number is the evaluation
-side divided by ``SHARD_CHARACTERS``.
-
-``phrases``, ``build_index`` and ``Shard`` are a full-text index with backward search over content-defined phrases.
-``overlapping`` doesn't use it, since edits spread over a text leave no phrase whole.
+Evaluation texts, then the training texts for them, reach a task through one shuffle by shard, so the index is read
+through Spark and neither side passes through the driver. A shard that many training texts go to is sent to several
+tasks, and one that many evaluation texts fall into is split.
 
 Nulls: a record without an id or whose folded state is empty never counts; null instructions and types count as
 empty, a null or blank criteria is missing, and a null split isn't the training split. Repeated rows are one record.
@@ -22,189 +21,256 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold, fold_codes, likeness, mix, piece_keys, pieces, sorted_unique, to_codes, to_texts
-from ..plans.staging import shared_dir, stage
-from .near_duplicates import text_hash
+from ..functions.folding import fold, fold_codes, likeness, mix, piece_keys, pieces, to_codes, to_texts
+from ..functions.strict_json import read, sorted_text
+from ..plans.staging import stage
+from .near_duplicates import one_head, staged_records, text_hash
 from .tokens import ragged
 
 BLOCK = 2000
 REMEMBERED = 500_000
-#: Characters of evaluation texts in a shard.
-SHARD_CHARACTERS = 8_000_000
-TYPE_BUCKETS = 64
-#: A phrase begins at one of so many places.
-PHRASE = 6
-#: Phrases up to which suffixes are ordered and matches grow, a power of two.
-DEPTH = 8
+#: Characters of evaluation texts in a shard, and training texts that are sent to one copy of it.
+SHARD_CHARACTERS, SHARD_QUERIES = 2_000_000, 50_000
+#: Bands of minima by which classes are routed, and minima in each.
+BANDS, ROWS = 32, 3
 #: Bits of the parity of a text's pieces.
 PARITY_BITS = 1024
+#: Kinds that have shards of their own.
+KINDS = 64
+#: Suffixes are ordered by so many characters: a match is found by three and told apart by the one before.
+DEPTH = 4
 #: Places of the index that are looked at together.
 LOOKED = 2_000_000
-#: Training texts that a task searches for together.
-STREAM = 20_000
 
 _U = np.uint64
 
 
-def phrases(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Content-defined phrases of folded texts: hash, text number, first character and length of each."""
-    n = len(codes)
-    if not n:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = codes.astype(_U)
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    cut = np.zeros(n, bool)
-    if n > 2:
-        three = mix((c[:-2] << _U(42)) | (c[1:-1] << _U(21)) | c[2:])
-        cut[:-2] = (three % _U(PHRASE) == 0) & (row[:-2] == row[2:])
-    cut[starts[:-1][np.diff(starts) > 0]] = True
-    first = np.flatnonzero(cut)
-    length = np.diff(np.append(first, n))
-    power = np.full(int(length.max()), 0x9E3779B97F4A7C15, _U)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    value = mix(c + _U(0x632BE59BD9B4E019)) * power[np.arange(n) - np.repeat(first, length)]
-    return mix(np.add.reduceat(value, first)), row[first], first - starts[row[first]], length
-
-
-def build_index(texts: list[str]) -> dict[str, np.ndarray]:
-    """The index of a shard: distinct phrases, where each begins in the suffix order, the rows of the transform
-    grouped by their phrase, and the text of each row."""
-    h, row, _, _ = phrases(*to_codes(texts))
-    known = sorted_unique(h)
-    # symbol 0 ends each text
-    per_text = np.bincount(row, minlength=len(texts))
-    at = np.arange(len(h)) + row
-    n = len(h) + len(texts)
-    symbol = np.zeros(n, np.int64)
-    symbol[at] = np.searchsorted(known, h) + 1
-    text = np.repeat(np.arange(len(texts)), per_text + 1)
-    rank, order = symbol, np.argsort(symbol, kind="stable")
-    width = 1
-    while width < DEPTH:
-        key = rank * (n + 1)
-        key[:-width] += rank[width:] + 1
+class TextIndex:
+    """A compressed full-text index of texts given as code points: a wavelet matrix over their transform, with ranks by
+    64-bit words. ``order`` are the places of its rows."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+        texts = len(starts) - 1
+        self.known, found = np.unique(codes, return_inverse=True)
+        n = len(codes) + texts
+        row = np.repeat(np.arange(texts), np.diff(starts))
+        symbol = np.zeros(n, np.int64)  # 0 ends each text
+        symbol[np.arange(len(codes)) + row] = found + 1
+        self.levels = max(int(len(self.known)).bit_length(), 1)
+        width = min(62 // self.levels, DEPTH)
+        key = symbol.copy()
+        for k in range(1, width):
+            key <<= self.levels
+            key[: max(n - k, 0)] |= symbol[k:]
         order = np.argsort(key, kind="stable")
-        in_order = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
-        width *= 2
-    before = symbol[order - 1]
-    begins = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=len(known) + 1))])
-    return {"known": known.view(np.int64), "begins": begins.astype(np.int32), "rows": np.argsort(before, kind="stable").astype(np.int32), "text": text[order].astype(np.int32)}
-
-
-class Shard:
-    """A loaded index."""
-
-    def __init__(self, known: np.ndarray, begins: np.ndarray, rows: np.ndarray, text: np.ndarray):
-        self.known, self.begins, self.text, self.n = known.view(_U), begins.astype(np.int64), text, len(rows)
-        self.keys = np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(self.begins)) * (self.n + 1) + rows
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        """Symbol of each phrase, 0 where no text of the shard has it."""
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, at + 1, 0)
+        while width < DEPTH:  # so many symbols that they don't fit into one key
+            in_order = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
+            key = rank * (n + 1)
+            key[: max(n - width, 0)] += rank[width:] + 1
+            order = np.argsort(key, kind="stable")
+            width *= 2
+        self.order, self.n = order, n
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=len(self.known) + 1))])
+        left = symbol[order - 1]
+        self.words, self.ones, self.zeros = [], [], []
+        for level in range(self.levels - 1, -1, -1):
+            bit = (left >> level & 1).astype(bool)
+            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view(_U)
+            self.words.append(packed)
+            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32))
+            self.zeros.append(int(n - bit.sum()))
+            left = np.concatenate([left[~bit], left[bit]])
+        every = np.arange(len(self.known) + 1)
+        self.offset = self.begins[:-1] - self._walk(every, np.zeros(len(every), np.int64))
+
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            word = at >> 6
+            ones = self.ones[k][word] + np.bitwise_count(self.words[k][word] & ((_U(1) << (at & 63).astype(_U)) - _U(1)))
+            at = np.where(symbol >> level & 1, self.zeros[k] + ones, at - ones)
+        return at
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """Symbol of each character, 0 where no text has it."""
+        if not len(self.known):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        return np.where(self.known[at] == codes, at + 1, 0)
+
+    def whole(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that begin with each symbol, none for the symbol that no text has."""
+        return np.where(symbol, self.begins[symbol], 0), np.where(symbol, self.begins[symbol + 1], 0)
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that begin with ``symbol`` and go on as the rows from ``low`` to ``high`` begin."""
-        base = symbol * (self.n + 1)
-        return np.searchsorted(self.keys, base + low), np.searchsorted(self.keys, base + high)
+        """Backward search: rows that begin with ``symbol`` and go on as the rows from ``low`` to ``high`` begin."""
+        there = (symbol > 0) & (high > low)
+        low, high = (np.where(there, self.offset[symbol] + self._walk(symbol, x), 0) for x in (low, high))
+        return low, high
 
 
-def text_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pieces of each text, the text of each piece, and the parity bits of each text's pieces."""
-    found, rows, bits = [], [], [np.zeros((0, PARITY_BITS // 64), _U)]
+def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text and first place of each distinct piece of three characters, in the order of places, and the code points and
+    starts of the texts. Texts of less than three characters are like no other and have none."""
+    codes, starts = to_codes(texts)
+    rows, places = [], []
+    for at in range(0, len(texts), BLOCK):
+        end = min(at + BLOCK, len(texts))
+        own, first = codes[starts[at] : starts[end]], starts[at : end + 1] - starts[at]
+        packed, row = pieces(own, first)
+        long = np.diff(first) >= 3
+        kept = long[row]
+        packed, row = packed[kept], row[kept]
+        counts = np.maximum(np.diff(first) - 2, 0)
+        place = ragged(first[:-1] + starts[at], counts)
+        key = row.astype(_U) << _U(50) | mix(packed) >> _U(14)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        chosen = np.sort(order[new])
+        rows.append(row[chosen] + at)
+        places.append(place[chosen])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *rows]), np.concatenate([empty, *places]), codes, starts
+
+
+class Rare(NamedTuple):
+    """The rarest pieces of texts: what each text may lack and one more, and all that stand as often as the last of them."""
+
+    row: np.ndarray  #: text
+    place: np.ndarray
+    low: np.ndarray  #: rows of the index that begin with the piece
+    high: np.ndarray
+    most: np.ndarray  #: for each text, how often its commonest rare piece stands in the shard
+    rest: np.ndarray  #: and how many pieces it has besides the rare ones
+
+
+def rarest(index: TextIndex, row: np.ndarray, place: np.ndarray, symbol: np.ndarray, size: np.ndarray, threshold: float) -> Rare:
+    """The rarest pieces of each text, by backward search for all of them; those that the shard hasn't are the rarest."""
+    three, at = np.unique((symbol[place] << 42) | (symbol[place + 1] << 21) | symbol[place + 2], return_inverse=True)
+    low, high = index.whole(three & 0x1FFFFF)
+    for shift in (21, 42):
+        low, high = index.step(three >> shift & 0x1FFFFF, low, high)
+    count = (high - low)[at]
+    may_lack = size - np.ceil(threshold * size - 1e-6).astype(np.int64)
+    in_order = np.sort(row << 32 | count)
+    has = np.flatnonzero(size)
+    most = np.zeros(len(size), np.int64)
+    most[has] = in_order[(np.cumsum(size) - size + may_lack)[has]] & 0xFFFFFFFF
+    rare = count <= most[row]
+    rest = size - np.bincount(row[rare], minlength=len(size))
+    rare &= count > 0
+    return Rare(row[rare], place[rare], low[at[rare]], high[at[rare]], most, rest)
+
+
+def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the maximal matches of rare pieces begin, and how many pieces each has.
+
+    Neighbouring pieces of a text that stand in the very same places of the index are one match: the four characters
+    of both stand as often as each.
+    """
+    count = rare.high - rare.low
+    joined = np.zeros(len(count), bool)
+    joined[1:] = (rare.row[1:] == rare.row[:-1]) & (rare.place[1:] == rare.place[:-1] + 1) & (count[1:] == count[:-1])
+    open_ = np.flatnonzero(joined)
+    low, high = index.step(symbol[rare.place[open_] - 1], rare.low[open_], rare.high[open_])
+    joined[open_] = high - low == count[open_]
+    begin = np.flatnonzero(~joined)
+    return begin, np.diff(np.append(begin, len(count)))
+
+
+def parities(texts: list[str]) -> np.ndarray:
+    """Bits of the parity of each text's pieces: texts differ in as many pieces as bits at least."""
+    out = [np.zeros((0, PARITY_BITS // 64), _U)]
     for at in range(0, len(texts), BLOCK):
         block = texts[at : at + BLOCK]
         keys = piece_keys(*pieces(*to_codes(block)))
-        row, piece = (keys >> _U(50)).astype(np.int64), keys & _U((1 << 50) - 1)
-        odd = np.bincount(row * PARITY_BITS + (piece & _U(PARITY_BITS - 1)).astype(np.int64), minlength=len(block) * PARITY_BITS) & 1
-        found.append(piece)
-        rows.append(row + at)
-        bits.append(np.packbits(odd.astype(bool).reshape(len(block), PARITY_BITS), axis=1).view(_U))
-    return np.concatenate([np.zeros(0, _U), *found]), np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate(bits)
-
-
-def in_order(rank: np.ndarray, row: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rank, text and place of the first pieces of each text, of which a text that is alike enough has one at least."""
-    key = np.sort(row << 32 | rank)
-    row = key >> 32
-    place = np.arange(len(key)) - (np.cumsum(size) - size)[row]
-    first = place <= (size - np.ceil(threshold * size - 1e-6))[row]
-    return (key & 0xFFFFFFFF)[first], row[first], place[first]
-
-
-def build_pieces(texts: list[str], threshold: float) -> dict[str, np.ndarray]:
-    """The pieces of a shard with their ranks from the rarest on, the texts that have a piece among their first ones
-    by rank and size, its place in each, and the number and parity bits of each text's pieces."""
-    piece, row, parity = text_pieces(texts)
-    size = np.bincount(row, minlength=len(texts))
-    known, at, n = np.unique(piece, return_inverse=True, return_counts=True)
-    rank = np.empty(len(known), np.int64)
-    rank[np.argsort(n, kind="stable")] = np.arange(1, len(known) + 1)
-    own, text, place = in_order(rank[at], row, size, threshold)
-    order = np.lexsort((size[text], own))
-    begins = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(known) + 1))])
-    return {"known": known.view(np.int64), "rank": rank.astype(np.int32), "begins": begins.astype(np.int32), "text": text[order].astype(np.int32), "place": place[order].astype(np.int32), "size": size.astype(np.int32), "parity": parity.view(np.int64)}
-
-
-class Pieces:
-    """A loaded shard."""
-
-    def __init__(self, known: np.ndarray, rank: np.ndarray, begins: np.ndarray, text: np.ndarray, place: np.ndarray, size: np.ndarray, parity: np.ndarray):
-        self.known, self.rank, self.text, self.place, self.size = known.view(_U), rank.astype(np.int64), text, place, size.astype(np.int64)
-        self.parity = parity.view(_U).reshape(len(size), PARITY_BITS // 64)
-        self.keys = np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins)) << 32 | self.size[text]
-
-    def ranks(self, piece: np.ndarray) -> np.ndarray:
-        """Rank of each piece, 0 where no text of the shard has it."""
-        at = np.minimum(np.searchsorted(self.known, piece), len(self.known) - 1)
-        return np.where(self.known[at] == piece, self.rank[at], 0)
-
-
-def search(shard: Pieces, piece: np.ndarray, row: np.ndarray, parity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(training text, shard text)`` of all pairs that the bounds of ``threshold`` do not rule out; ``piece``, ``row``
-    and ``parity`` are the ``text_pieces`` of the training texts."""
-    size = np.bincount(row, minlength=len(parity))
-    share = threshold / (1 + threshold)  # of the pieces of both texts together, how many they must have in common
-    rank, text, place = in_order(shard.ranks(piece), row, size, threshold)
-    there = rank > 0
-    rank, text, place = rank[there], text[there], place[there]
-    own = size[text]
-    low = np.searchsorted(shard.keys, rank << 32 | np.ceil(threshold * own - 1e-6).astype(np.int64))
-    high = np.searchsorted(shard.keys, rank << 32 | np.floor((own - place) / share - own + 1e-6).astype(np.int64), "right")
-    there = high > low
-    text, place, low, count = text[there], place[there], low[there], (high - low)[there]
-    total = np.cumsum(count)
-    out = [np.zeros(0, np.int64)]
-    begin = 0
-    while begin < len(count):
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + LOOKED, "right")))
-        hit = np.repeat(np.arange(begin, end), count[begin:end])
-        at = ragged(low[begin:end], count[begin:end])
-        other, mine = shard.text[at].astype(np.int64), text[hit]
-        sizes = size[mine] + shard.size[other]
-        common = np.ceil(share * sizes - 1e-6)
-        good = np.flatnonzero(shard.size[other] - shard.place[at] >= common)
-        other, mine, most = other[good], mine[good], (sizes - 2 * common)[good]
-        differ = np.zeros(len(mine), np.int64)
-        for words in (slice(0, 4), slice(4, None)):
-            differ += np.bitwise_count(shard.parity[other, words] ^ parity[mine, words]).sum(axis=1, dtype=np.int64)
-            good = differ <= most
-            other, mine, most, differ = other[good], mine[good], most[good], differ[good]
-        out.append(sorted_unique(mine << 32 | other))
-        begin = end
-    pair = sorted_unique(np.concatenate(out))
-    return pair >> 32, pair & 0xFFFFFFFF
+        bit = (keys >> _U(50)).astype(np.int64) * PARITY_BITS + (keys & _U(PARITY_BITS - 1)).astype(np.int64)
+        odd = np.bincount(bit, minlength=len(block) * PARITY_BITS) & 1
+        out.append(np.packbits(odd.astype(bool).reshape(len(block), PARITY_BITS), axis=1).view(_U))
+    return np.concatenate(out)
+
+
+class Shard:
+    """Evaluation texts with their index; of each row of the index that is a rare piece of its text, the text."""
+
+    def __init__(self, texts: list[str], kinds: list[int], threshold: float):
+        row, place, codes, starts = distinct_pieces(texts)
+        self.texts, self.kinds, self.threshold = texts, np.array(kinds, np.int64), threshold
+        self.size = np.bincount(row, minlength=len(texts))
+        self.index = TextIndex(codes, starts)
+        rare = rarest(self.index, row, place, self.index.symbols(codes), self.size, threshold)
+        self.most, self.rest = rare.most, rare.rest
+        row_of = np.empty(self.index.n, np.int64)  # row of each place
+        row_of[self.index.order] = np.arange(self.index.n)
+        marked = row_of[rare.place + rare.row]
+        by_row = np.argsort(marked)
+        self.marked, self.of = marked[by_row], rare.row[by_row]
+        self.parity = parities(texts)
+        del self.index.order
+
+    def search(self, texts: list[str], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Training and evaluation texts of one kind that are alike enough."""
+        row, place, codes, _ = distinct_pieces(texts)
+        size, symbol = np.bincount(row, minlength=len(texts)), self.index.symbols(codes)
+        rare = rarest(self.index, row, place, symbol, size, self.threshold)
+        begin, weight = maximal_matches(self.index, rare, symbol)
+        low, high = np.searchsorted(self.marked, rare.low[begin]), np.searchsorted(self.marked, rare.high[begin])
+        a, b, shared = self.merged(rare.row[begin], weight, low, high)
+        needed = np.ceil(self.threshold / (1 + self.threshold) * (size[a] + self.size[b]) - 1e-6).astype(np.int64)
+        # pieces that both have beside the counted ones are commoner than the rare ones of either text
+        rest_a, rest_b = rare.rest[a], self.rest[b]
+        more = np.where(rare.most[a] < self.most[b], rest_a, np.where(rare.most[a] > self.most[b], rest_b, np.minimum(rest_a, rest_b)))
+        good = (shared + more >= needed) & (needed <= np.minimum(size[a], self.size[b])) & (np.array(kinds, np.int64)[a] == self.kinds[b])
+        a, b, needed = a[good], b[good], needed[good]
+        own, found = parities(texts), []
+        for at in range(0, len(a), LOOKED // 16):
+            x, y = a[at : at + LOOKED // 16], b[at : at + LOOKED // 16]
+            differ = np.bitwise_count(own[x] ^ self.parity[y]).sum(axis=1, dtype=np.int64)
+            found.append(at + np.flatnonzero(differ <= size[x] + self.size[y] - 2 * needed[at : at + LOOKED // 16]))
+        left = np.concatenate([np.zeros(0, np.int64), *found])
+        a, b = a[left], b[left]
+        alike = np.zeros(len(a), bool)
+        for at in range(0, len(a), BLOCK):
+            x, y = a[at : at + BLOCK], b[at : at + BLOCK]
+            alike[at : at + BLOCK] = likeness([texts[i] for i in x.tolist()], [self.texts[i] for i in y.tolist()]) >= self.threshold
+        return a[alike], b[alike]
+
+    def merged(self, row: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training text, evaluation text, and how many pieces their matches have in common: the spans of all matches
+        that lead to one evaluation text, merged."""
+        total = np.cumsum(high - low)
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def add(key: np.ndarray, value: np.ndarray) -> None:
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            keys.append(key[first])
+            sums.append(np.add.reduceat(value, first))
+
+        begin = 0
+        while begin < len(row):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + LOOKED, "right")))
+            n = (high - low)[begin:end]
+            if n.any():
+                add(np.repeat(row[begin:end], n) << 32 | self.of[ragged(low[begin:end], n)], np.repeat(weight[begin:end], n))
+            begin = end
+        if len(keys) > 2:  # a text's matches may lie in several slices
+            key, value = np.concatenate(keys), np.concatenate(sums)
+            keys, sums = [], []
+            add(key, value)
+        key, value = np.concatenate(keys), np.concatenate(sums)
+        return key >> 32, key & 0xFFFFFFFF, value
 
 
 def criteria_text(text: str | None) -> str | None:
@@ -213,8 +279,13 @@ def criteria_text(text: str | None) -> str | None:
         return None
     try:
         return fold(json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False))
-    except (ValueError, RecursionError):
+    except ValueError:
         return fold(text)
+    except RecursionError:  # nested more deeply than the library goes
+        try:
+            return fold(sorted_text(read(text, number=json.loads)))
+        except ValueError:
+            return fold(text)
 
 
 def split_records(df: DataFrame, train: str) -> DataFrame:
@@ -249,118 +320,138 @@ def split_records(df: DataFrame, train: str) -> DataFrame:
     )
 
 
-def write_index(evaluation: DataFrame, threshold: float) -> tuple[str, dict[int, int]]:
-    """Index the text classes of the evaluation side; the folder, and the number of shards of each bucket of types."""
-    spark = evaluation.sparkSession
-    bucket = F.pmod(F.xxhash64("kind"), F.lit(TYPE_BUCKETS)).cast("int")
-    sizes = evaluation.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("text")).alias("n")).collect()  # TYPE_BUCKETS rows at most
-    shards = {r["bucket"]: max(1, -(-r["n"] // SHARD_CHARACTERS)) for r in sizes}
-    path = f"{shared_dir(spark)}/index-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    if not shards:
-        return path, shards
-    count = F.create_map(*(F.lit(x) for kv in shards.items() for x in kv))
-    placed = evaluation.select(bucket.alias("bucket"), "tcls", "talt", "text").withColumn("shard", F.pmod("tcls", count[F.col("bucket")]).cast("int"))
-
-    def build(key: tuple, group: pa.Table) -> pa.Table:
-        cls, alt = group.column("tcls").to_numpy(), group.column("talt").to_numpy()
-        order = np.lexsort((alt, cls))
-        once = order[np.append(True, (np.diff(cls[order]) != 0) | (np.diff(alt[order]) != 0))]  # several tasks may have seen a class
-        parts = build_pieces(group.column("text").take(pa.array(once)).to_pylist(), threshold)
-        parts |= {"cls": cls[once], "alt": alt[once]}
-        names = list(parts)
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(names), pa.int32()), "shard": pa.array([key[1].as_py()] * len(names), pa.int32()), "name": names, "content": pa.array([parts[n].tobytes() for n in names], pa.binary())})
-
-    placed.groupBy("bucket", "shard").applyInArrow(build, "bucket int, shard int, name string, content binary").write.partitionBy("bucket", "shard").option("compression", "zstd").parquet(path)
-    return path, shards
-
-
-def load_shard(path: str, bucket: int, shard: int) -> tuple[Pieces, np.ndarray, np.ndarray] | None:
-    """A shard's index with the classes of its texts; None where no text fell into the shard."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-    folder = f"{root}/bucket={bucket}/shard={shard}"
-    if fs.get_file_info(folder).type == pyarrow.fs.FileType.NotFound:
-        return None
-    found = pq.read_table(folder, filesystem=fs, columns=["name", "content"], partitioning=None)
-    parts = dict(zip(found.column("name").to_pylist(), found.column("content").to_pylist()))
-    get = lambda n, kind: np.frombuffer(parts[n], kind)
-    numbers = (get(n, np.int32) for n in ("rank", "begins", "text", "place", "size"))
-    return Pieces(get("known", np.int64), *numbers, get("parity", np.int64)), get("cls", np.int64), get("alt", np.int64)
-
-
-def matched_classes(training: DataFrame, path: str, shards: dict[int, int], threshold: float) -> DataFrame:
-    """``(a, aa, b, ab)``: text classes of training texts and of the evaluation texts that may be alike enough."""
-    names = ["a", "aa", "b", "ab"]
-
-    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for bucket in {r[0] for r in rows}:
-            own = [r for r in rows if r[0] == bucket] if bucket in shards else []
-            a, aa = (np.array([r[k] for r in own], np.int64) for k in (1, 2))
-            blocks = [(at, *text_pieces([r[3] for r in own[at : at + BLOCK]])) for at in range(0, len(own), BLOCK)]
-            for k in range(shards.get(bucket, 0)):
-                loaded = load_shard(path, bucket, k)
-                if loaded is None:
-                    continue
-                shard, b, ab = loaded
-                for at, *block in blocks:
-                    t, e = search(shard, *block, threshold)
-                    if len(t):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at + t], aa[at + t], b[e], ab[e])], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for b in batches:
-            rows.extend(zip(*(c.to_pylist() for c in b.columns)))
-            if len(rows) >= STREAM:
-                yield from found(rows)
-                rows = []
-        yield from found(rows)
+def route_keys(texts: DataFrame) -> DataFrame:
+    """``(key, tcls, chars, kh)``: a key for each band of minima of a text class; kinds have no key in common.
 
-    bucket = F.pmod(F.xxhash64("kind"), F.lit(TYPE_BUCKETS)).cast("int")
-    return training.select(bucket.alias("bucket"), "tcls", "talt", "text").mapInArrow(run, "a long, aa long, b long, ab long")
+    Pieces fall into ``BANDS * ROWS`` bins, of which each keeps its least hash; an empty bin takes that of the next one.
+    """
+    bins = BANDS * ROWS
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                texts = b.column("text").to_pylist()
+                keys = piece_keys(*pieces(*to_codes(texts)))
+                row, h = (keys >> _U(50)).astype(np.int64), mix(keys & _U((1 << 50) - 1))
+                least = np.full(len(texts) * bins, ~_U(0))
+                np.minimum.at(least, row * bins + (h % _U(bins)).astype(np.int64), h)
+                least = least.reshape(len(texts), bins)
+                value = least[:, 0]
+                for k in range(2 * bins - 1, -1, -1):
+                    own = least[:, k % bins]
+                    value = np.where(own != ~_U(0), own, mix(value + _U(1)))
+                    least[:, k % bins] = np.where(k < bins, value, own)
+                kind = mix(b.column("kh").to_numpy().view(_U))
+                chars, kinds = pa.array([len(t) for t in texts], pa.int32()), pa.array(b.column("kh").to_numpy() % KINDS, pa.int32())
+                for band in range(BANDS):
+                    key = kind + _U(band + 1)
+                    for k in range(band * ROWS, (band + 1) * ROWS):
+                        key = mix(key * _U(0x9E3779B97F4A7C15) + least[:, k])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("tcls"), chars, kinds], ["key", "tcls", "chars", "kh"])
+
+    return texts.select("tcls", "kh", "text").mapInArrow(run, "key long, tcls long, chars int, kh int")
+
+
+def placed(a: DataFrame, b: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """``(tcls, base, part, parts)`` of evaluation classes, and ``(tcls, base, parts)`` of the training classes to be sent
+    to all parts of ``base``. Classes that share no band with the other side go nowhere, unless ``exact``."""
+    sizes = b.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    bases = max(1, -(-sizes // SHARD_CHARACTERS))
+    kind = F.pmod("kh", F.lit(KINDS)) * bases  # a shard is of one kind
+    base = (F.pmod(F.xxhash64("home"), F.lit(bases)) + F.col("kind")).cast("long").alias("base")
+    if exact:
+        homes = b.select("tcls", F.col("tcls").alias("home"), F.length("text").alias("chars"), kind.alias("kind"))
+    else:
+        of_eval, of_train = route_keys(b), route_keys(a)
+        live = stage(of_eval.join(of_train.select("key").distinct(), "key", "left_semi"), "route-keys")
+        popular = live.groupBy("key").agg(F.count("*").alias("n"))
+        homes = live.join(popular, "key").groupBy("tcls").agg(F.max(F.struct("n", F.col("key").alias("home"))).alias("h"), F.first("chars").alias("chars"), F.first("kh").alias("kh")).select("tcls", "h.home", "chars", kind.alias("kind"))
+    homes = homes.select("tcls", base, "chars")
+    loads = homes.groupBy("base").agg(F.ceil(F.sum("chars") / SHARD_CHARACTERS).cast("int").alias("parts"))
+    homes = stage(homes.join(loads, "base").select("tcls", "base", F.pmod(F.xxhash64("tcls", F.lit(1)), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.greatest("parts", F.lit(1)).alias("parts")), "homes")
+    if exact:
+        each = loads.select(F.sort_array(F.collect_list(F.struct("base", "parts"))).alias("all"))  # one row for each shard
+        routes = a.select("tcls").join(each).select("tcls", F.explode("all").alias("r")).select("tcls", "r.*")
+    else:
+        of_key = live.join(homes, "tcls").select("key", "base", "parts").distinct()
+        routes = of_train.join(of_key, "key").select("tcls", "base", "parts").distinct()
+    return homes, stage(routes, "routes")
+
+
+def alike_classes(a: DataFrame, b: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """``(a, aa, b, ab)``: training and evaluation text classes that differ and are at least ``threshold`` alike."""
+    homes, routes = placed(a, b, exact)
+    copies = routes.groupBy("base").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("copies"))
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    evaluation = homes.join(copies, "base").select("tcls", "base", "part", copy)
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    training = routes.join(copies, "base").select("tcls", "base", part, F.pmod(F.xxhash64("tcls"), F.col("copies")).cast("int").alias("copy"))
+    names = ["base", "part", "copy", "train", "tcls", "talt", "kh", "text"]
+    both = b.join(evaluation, "tcls").withColumn("train", F.lit(False)).select(*names).unionByName(a.join(training, "tcls").withColumn("train", F.lit(True)).select(*names))
+    sent = both.repartition("base", "part", "copy").sortWithinPartitions("base", "part", "copy", "train")
 
-def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple | None = None
+        shard: Shard | None = None
+        held: list[tuple] = []  # evaluation texts until the first training text comes
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                col = [c.to_pylist() for c in whole.slice(at, BLOCK).columns]
+                asked: list[tuple] = []
+
+                def answered() -> Iterator[pa.RecordBatch]:
+                    if asked and shard:
+                        x, y = shard.search([r[3] for r in asked], [r[2] for r in asked])
+                        pairs = [(*asked[i][:2], *held[j][:2]) for i, j in zip(x.tolist(), y.tolist())]
+                        pairs = [p for p in pairs if p[:2] != p[2:]]
+                        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)], ["a", "aa", "b", "ab"])
+                    asked.clear()
+
+                for *key, train, cls, alt, kind, text in zip(*col):
+                    if tuple(key) != here:
+                        yield from answered()
+                        here, shard, held = tuple(key), None, []
+                    if not train:
+                        held.append((cls, alt, kind, text))
+                    elif held:
+                        shard = shard or Shard([r[3] for r in held], [r[2] for r in held], threshold)
+                        asked.append((cls, alt, kind, text))
+                yield from answered()
+
+    return sent.mapInArrow(run, "a long, aa long, b long, ab long")
+
+
+def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train", exact: bool = False) -> DataFrame:
     """``(train_id, eval_id, split, source, same)``: all pairs of a training and another record of equal types whose
     texts are at least ``threshold`` alike, and whose criteria are both missing or at least ``threshold`` alike.
 
     ``split`` and ``source`` are those of the other record; ``same`` says that all four fields are equal when folded.
+    A pair whose texts have likeness t is routed to one shard with probability ``1 - (1 - t**ROWS)**BANDS``, 0.9996 at 0.6,
+    and with certainty if ``exact``, when every training text goes to every shard.
     """
-    records = stage(split_records(df, train), "split-records")
-    texts = records.where("thead")
-    a = texts.where("train")
-    b = texts.where("NOT train")
-    path, shards = write_index(b, threshold)
+    records = staged_records(split_records(df, train))
+    kh = F.xxhash64("kind").alias("kh")
+    text_key, key = ("tcls", "talt"), ("cls", "alt")
+    heads = one_head(records, {"train text": ("thead AND train", text_key), "text": ("thead AND NOT train", text_key), "train": ("head AND train", key), "other": ("head AND NOT train", key)})
+    a, b = (heads[n].select("tcls", "talt", kh, "text") for n in ("train text", "text"))
     equal = a.select("tcls", "talt").join(b.select("tcls", "talt"), ["tcls", "talt"], "left_semi").select(F.col("tcls").alias("a"), F.col("talt").alias("aa"), F.col("tcls").alias("b"), F.col("talt").alias("ab"))
-    near = matched_classes(a, path, shards, threshold).where("a <> b OR aa <> ab")
-    candidates = stage(near.distinct(), "overlap-candidates")
+    found = stage(alike_classes(a, b, threshold, exact), "alike-texts")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, list]]]:
+    def check_criteria(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 r = whole.slice(at, BLOCK)
-                yield r, {n: r.column(i).to_pylist() for i, n in enumerate(r.schema.names)}
-
-    def check_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, col in blocks(batches):
-            good = (likeness(col["ta"], col["tb"]) >= threshold) & (np.array(col["ka"]) == np.array(col["kb"]))
-            yield r.filter(pa.array(good, pa.bool_())).select(["a", "aa", "b", "ab"])
-
-    def check_criteria(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, col in blocks(batches):
-            missing = np.array([(x is None) + (y is None) for x, y in zip(col["criteria_a"], col["criteria_b"])])
-            alike = likeness([x or "" for x in col["criteria_a"]], [x or "" for x in col["criteria_b"]]) >= threshold
-            yield r.filter(pa.array(np.where(missing == 0, alike, missing == 2), pa.bool_())).select(["a", "aa", "b", "ab"])
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select(F.col("tcls").alias(x), F.col("talt").alias(f"a{x}"), F.col("kind").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
+                left, right = r.column("criteria_a").to_pylist(), r.column("criteria_b").to_pylist()
+                missing = np.array([(x is None) + (y is None) for x, y in zip(left, right)])
+                alike = likeness([x or "" for x in left], [x or "" for x in right]) >= threshold
+                yield r.filter(pa.array(np.where(missing == 0, alike, missing == 2), pa.bool_())).select(["a", "aa", "b", "ab"])
 
-    def classes(train_side: bool, x: str) -> DataFrame:
-        heads = records.where("head").where(F.col("train") == train_side)
-        return heads.select(F.col("tcls").alias(f"t{x}"), F.col("talt").alias(f"ta{x}"), F.col("cls").alias(x), F.col("alt").alias(f"a{x}"), F.col("criteria").alias(f"criteria_{x}"))
+    def classes(name: str, x: str) -> DataFrame:
+        return heads[name].select(F.col("tcls").alias(f"t{x}"), F.col("talt").alias(f"ta{x}"), F.col("cls").alias(x), F.col("alt").alias(f"a{x}"), F.col("criteria").alias(f"criteria_{x}"))
 
-    checked = candidates.join(side(a, "a"), ["a", "aa"]).join(side(b, "b"), ["b", "ab"]).select("a", "aa", "ka", "ta", "b", "ab", "kb", "tb").mapInArrow(check_texts, "a long, aa long, b long, ab long")
-    alike = checked.unionByName(equal).distinct().toDF("ta", "taa", "tb", "tab")
-    of_records = alike.join(classes(True, "a"), ["ta", "taa"]).join(classes(False, "b"), ["tb", "tab"])
+    alike = found.unionByName(equal).distinct().toDF("ta", "taa", "tb", "tab")
+    of_records = alike.join(classes("train", "a"), ["ta", "taa"]).join(classes("other", "b"), ["tb", "tab"])
     pairs = of_records.select("a", "aa", "criteria_a", "b", "ab", "criteria_b").mapInArrow(check_criteria, "a long, aa long, b long, ab long").distinct()
     train_ids = records.where("train").select(F.col("id").alias("train_id"), F.col("cls").alias("a"), F.col("alt").alias("aa")).distinct()
     eval_ids = records.where("NOT train").select(F.col("id").alias("eval_id"), "split", "source", F.col("cls").alias("b"), F.col("alt").alias("ab")).distinct()
