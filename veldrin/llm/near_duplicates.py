@@ -203,13 +203,13 @@ def checked_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold
     return both.mapInArrow(run, "a long, aa long, b long, ab long").distinct()
 
 
-def class_pairs(records: DataFrame, threshold: float = 0.6, bands: int = 21, rows: int = 3, most_differing: int = 35) -> DataFrame:
+def class_pairs(records: DataFrame, threshold: float = 0.6, bands: int = 21, rows: int = 3, most_differing: int = 32) -> DataFrame:
     """``(a, aa, b, ab)``: pairs of different texts, by their two hashes, that are at least ``threshold`` alike.
 
     Recall follows from the bands: two texts whose plain likeness is t have a weighted one s of at least
     ``t / (t + RATIO * (1 - t))``, 0.556 at 0.6, and share a band with probability ``1 - (1 - s**rows)**bands``, 0.98
     at 0.6. Of their registers ``3 / 4 * (1 - s)`` are expected to differ in two bits, at most 21.3 of 64 at 0.6 with a
-    deviation of 3.8, so that 35 rule out one such pair in five thousand. Precision is exact. ``records`` are staged.
+    deviation of 3.8, so that 32 rule out one such pair in seven hundred. Precision is exact. ``records`` are staged.
     """
     heads = one_head(records, {"text": ("head", ("cls", "alt"))})["text"]
     keyed = band_rows(heads, piece_weights(heads), bands, rows)
