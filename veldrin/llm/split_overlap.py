@@ -1,17 +1,16 @@
 """The same or almost the same records across splits: training texts streamed through full-text indexes of evaluation texts.
 
-Equal texts of a type are one text class, whatever their criteria. The evaluation classes are laid into shards, those
-that are alike together; a training class goes to the shards that hold a class it shares a band of minima with, or
-to all of them (``exact``), and there it is streamed through backward search on a compressed full-text index (a wavelet
-matrix over the transform of the shard's texts). Two texts that are alike enough share one of the rarest pieces of
-either, so these are looked up; pieces that stand in the same places one after another are one maximal match. The
-matches' places give the evaluation texts, whose spans are merged and counted: what a pair must share follows from
-the likeness, so that the count rules out no pair of the shard that is alike enough. What is left is checked
-exactly: texts first, then the criteria of all records with such texts.
+Equal texts of a type are one text class, whatever their criteria. The evaluation classes of a type are laid into
+shards, and its training classes are streamed through backward search on a compressed full-text index of each shard
+(a wavelet matrix over the transform of the shard's texts). Two texts that are alike enough share one of the rarest
+pieces of both, so these are looked up and marked in the index; pieces that stand in the same places one after another
+are one maximal match. The marks in a match's rows give the evaluation texts, whose spans are merged and counted:
+what a pair must share follows from the likeness, so that neither this count nor the parity of the pieces rules out a
+pair that is alike enough. What is left is checked exactly: texts first, then the criteria of all records with them.
 
 Evaluation texts, then the training texts for them, reach a task through one shuffle by shard, so the index is read
-through Spark and neither side passes through the driver. A shard that many training texts go to is sent to several
-tasks, and one that many evaluation texts fall into is split.
+through Spark and neither side passes through the driver. No pair is lost; the search grows with the training texts
+times the shards of their type.
 
 Nulls: a record without an id or whose folded state is empty never counts; null instructions and types count as
 empty, a null or blank criteria is missing, and a null split isn't the training split. Repeated rows are one record.
@@ -36,14 +35,10 @@ from .tokens import ragged
 
 BLOCK = 2000
 REMEMBERED = 500_000
-#: Characters of evaluation texts in a shard, and training texts that are sent to one copy of it.
-SHARD_CHARACTERS, SHARD_QUERIES = 2_000_000, 50_000
-#: Bands of minima by which classes are routed, and minima in each.
-BANDS, ROWS = 32, 3
+#: Characters of evaluation texts in a shard, training texts that are sent to one copy of it, and those searched for together.
+SHARD_CHARACTERS, SHARD_QUERIES, STREAM = 4_000_000, 50_000, 4000
 #: Bits of the parity of a text's pieces.
 PARITY_BITS = 1024
-#: Kinds that have shards of their own.
-KINDS = 64
 #: Suffixes are ordered by so many characters: a match is found by three and told apart by the one before.
 DEPTH = 4
 #: Places of the index that are looked at together.
@@ -203,9 +198,9 @@ def parities(texts: list[str]) -> np.ndarray:
 class Shard:
     """Evaluation texts with their index; of each row of the index that is a rare piece of its text, the text."""
 
-    def __init__(self, texts: list[str], kinds: list[int], threshold: float):
+    def __init__(self, texts: list[str], threshold: float):
         row, place, codes, starts = distinct_pieces(texts)
-        self.texts, self.kinds, self.threshold = texts, np.array(kinds, np.int64), threshold
+        self.texts, self.threshold = texts, threshold
         self.size = np.bincount(row, minlength=len(texts))
         self.index = TextIndex(codes, starts)
         rare = rarest(self.index, row, place, self.index.symbols(codes), self.size, threshold)
@@ -218,8 +213,8 @@ class Shard:
         self.parity = parities(texts)
         del self.index.order
 
-    def search(self, texts: list[str], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Training and evaluation texts of one kind that are alike enough."""
+    def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Training and evaluation texts that are alike enough."""
         row, place, codes, _ = distinct_pieces(texts)
         size, symbol = np.bincount(row, minlength=len(texts)), self.index.symbols(codes)
         rare = rarest(self.index, row, place, symbol, size, self.threshold)
@@ -230,7 +225,7 @@ class Shard:
         # pieces that both have beside the counted ones are commoner than the rare ones of either text
         rest_a, rest_b = rare.rest[a], self.rest[b]
         more = np.where(rare.most[a] < self.most[b], rest_a, np.where(rare.most[a] > self.most[b], rest_b, np.minimum(rest_a, rest_b)))
-        good = (shared + more >= needed) & (needed <= np.minimum(size[a], self.size[b])) & (np.array(kinds, np.int64)[a] == self.kinds[b])
+        good = (shared + more >= needed) & (needed <= np.minimum(size[a], self.size[b]))
         a, b, needed = a[good], b[good], needed[good]
         own, found = parities(texts), []
         for at in range(0, len(a), LOOKED // 16):
@@ -320,115 +315,52 @@ def split_records(df: DataFrame, train: str) -> DataFrame:
     )
 
 
-def route_keys(texts: DataFrame) -> DataFrame:
-    """``(key, tcls, chars, kh)``: a key for each band of minima of a text class; kinds have no key in common.
-
-    Pieces fall into ``BANDS * ROWS`` bins, of which each keeps its least hash; an empty bin takes that of the next one.
-    """
-    bins = BANDS * ROWS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(at, BLOCK)
-                texts = b.column("text").to_pylist()
-                keys = piece_keys(*pieces(*to_codes(texts)))
-                row, h = (keys >> _U(50)).astype(np.int64), mix(keys & _U((1 << 50) - 1))
-                least = np.full(len(texts) * bins, ~_U(0))
-                np.minimum.at(least, row * bins + (h % _U(bins)).astype(np.int64), h)
-                least = least.reshape(len(texts), bins)
-                value = least[:, 0]
-                for k in range(2 * bins - 1, -1, -1):
-                    own = least[:, k % bins]
-                    value = np.where(own != ~_U(0), own, mix(value + _U(1)))
-                    least[:, k % bins] = np.where(k < bins, value, own)
-                kind = mix(b.column("kh").to_numpy().view(_U))
-                chars, kinds = pa.array([len(t) for t in texts], pa.int32()), pa.array(b.column("kh").to_numpy() % KINDS, pa.int32())
-                for band in range(BANDS):
-                    key = kind + _U(band + 1)
-                    for k in range(band * ROWS, (band + 1) * ROWS):
-                        key = mix(key * _U(0x9E3779B97F4A7C15) + least[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("tcls"), chars, kinds], ["key", "tcls", "chars", "kh"])
-
-    return texts.select("tcls", "kh", "text").mapInArrow(run, "key long, tcls long, chars int, kh int")
-
-
-def placed(a: DataFrame, b: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
-    """``(tcls, base, part, parts)`` of evaluation classes, and ``(tcls, base, parts)`` of the training classes to be sent
-    to all parts of ``base``. Classes that share no band with the other side go nowhere, unless ``exact``."""
-    sizes = b.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
-    bases = max(1, -(-sizes // SHARD_CHARACTERS))
-    kind = F.pmod("kh", F.lit(KINDS)) * bases  # a shard is of one kind
-    base = (F.pmod(F.xxhash64("home"), F.lit(bases)) + F.col("kind")).cast("long").alias("base")
-    if exact:
-        homes = b.select("tcls", F.col("tcls").alias("home"), F.length("text").alias("chars"), kind.alias("kind"))
-    else:
-        of_eval, of_train = route_keys(b), route_keys(a)
-        live = stage(of_eval.join(of_train.select("key").distinct(), "key", "left_semi"), "route-keys")
-        popular = live.groupBy("key").agg(F.count("*").alias("n"))
-        homes = live.join(popular, "key").groupBy("tcls").agg(F.max(F.struct("n", F.col("key").alias("home"))).alias("h"), F.first("chars").alias("chars"), F.first("kh").alias("kh")).select("tcls", "h.home", "chars", kind.alias("kind"))
-    homes = homes.select("tcls", base, "chars")
-    loads = homes.groupBy("base").agg(F.ceil(F.sum("chars") / SHARD_CHARACTERS).cast("int").alias("parts"))
-    homes = stage(homes.join(loads, "base").select("tcls", "base", F.pmod(F.xxhash64("tcls", F.lit(1)), F.greatest("parts", F.lit(1))).cast("int").alias("part"), F.greatest("parts", F.lit(1)).alias("parts")), "homes")
-    if exact:
-        each = loads.select(F.sort_array(F.collect_list(F.struct("base", "parts"))).alias("all"))  # one row for each shard
-        routes = a.select("tcls").join(each).select("tcls", F.explode("all").alias("r")).select("tcls", "r.*")
-    else:
-        of_key = live.join(homes, "tcls").select("key", "base", "parts").distinct()
-        routes = of_train.join(of_key, "key").select("tcls", "base", "parts").distinct()
-    return homes, stage(routes, "routes")
-
-
-def alike_classes(a: DataFrame, b: DataFrame, threshold: float, exact: bool) -> DataFrame:
-    """``(a, aa, b, ab)``: training and evaluation text classes that differ and are at least ``threshold`` alike."""
-    homes, routes = placed(a, b, exact)
-    copies = routes.groupBy("base").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("copies"))
-    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    evaluation = homes.join(copies, "base").select("tcls", "base", "part", copy)
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    training = routes.join(copies, "base").select("tcls", "base", part, F.pmod(F.xxhash64("tcls"), F.col("copies")).cast("int").alias("copy"))
-    names = ["base", "part", "copy", "train", "tcls", "talt", "kh", "text"]
-    both = b.join(evaluation, "tcls").withColumn("train", F.lit(False)).select(*names).unionByName(a.join(training, "tcls").withColumn("train", F.lit(True)).select(*names))
-    sent = both.repartition("base", "part", "copy").sortWithinPartitions("base", "part", "copy", "train")
+def alike_classes(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """``(a, aa, b, ab)``: training and evaluation text classes of one kind that differ and are at least ``threshold``
+    alike. Each training class goes to all shards of its kind."""
+    shards = b.groupBy("kh").agg(F.ceil(F.sum(F.length("text")) / SHARD_CHARACTERS).cast("int").alias("parts"))
+    shards = stage(shards.join(a.groupBy("kh").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("copies")), "kh"), "shards")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    names = ["kh", "part", "copy", "train", "tcls", "talt", "text"]
+    evaluation = b.join(shards, "kh").withColumns({"part": F.pmod("tcls", "parts").cast("int"), "copy": every("copies"), "train": F.lit(False)})
+    training = a.join(shards, "kh").withColumns({"part": every("parts"), "copy": F.pmod(F.xxhash64("tcls"), "copies").cast("int"), "train": F.lit(True)})
+    sent = evaluation.select(*names).unionByName(training.select(*names)).repartition("kh", "part", "copy").sortWithinPartitions("kh", "part", "copy", "train")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple | None = None
         shard: Shard | None = None
-        held: list[tuple] = []  # evaluation texts until the first training text comes
+        held: list[tuple] = []  # the shard's texts
+        asked: list[tuple] = []
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            if asked and shard:
+                x, y = shard.search([r[2] for r in asked])
+                pairs = [p for i, j in zip(x.tolist(), y.tolist()) if (p := (*asked[i][:2], *held[j][:2]))[:2] != p[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)], ["a", "aa", "b", "ab"])
+            asked.clear()
+
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                col = [c.to_pylist() for c in whole.slice(at, BLOCK).columns]
-                asked: list[tuple] = []
-
-                def answered() -> Iterator[pa.RecordBatch]:
-                    if asked and shard:
-                        x, y = shard.search([r[3] for r in asked], [r[2] for r in asked])
-                        pairs = [(*asked[i][:2], *held[j][:2]) for i, j in zip(x.tolist(), y.tolist())]
-                        pairs = [p for p in pairs if p[:2] != p[2:]]
-                        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)], ["a", "aa", "b", "ab"])
-                    asked.clear()
-
-                for *key, train, cls, alt, kind, text in zip(*col):
-                    if tuple(key) != here:
+            for *key, train, cls, alt, text in zip(*(c.to_pylist() for c in whole.columns)):
+                if tuple(key) != here:
+                    yield from answered()
+                    here, shard, held = tuple(key), None, []
+                if not train:
+                    held.append((cls, alt, text))
+                elif held:
+                    shard = shard or Shard([r[2] for r in held], threshold)
+                    asked.append((cls, alt, text))
+                    if len(asked) == STREAM:
                         yield from answered()
-                        here, shard, held = tuple(key), None, []
-                    if not train:
-                        held.append((cls, alt, kind, text))
-                    elif held:
-                        shard = shard or Shard([r[3] for r in held], [r[2] for r in held], threshold)
-                        asked.append((cls, alt, kind, text))
-                yield from answered()
+        yield from answered()
 
     return sent.mapInArrow(run, "a long, aa long, b long, ab long")
 
 
-def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train", exact: bool = False) -> DataFrame:
+def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train") -> DataFrame:
     """``(train_id, eval_id, split, source, same)``: all pairs of a training and another record of equal types whose
     texts are at least ``threshold`` alike, and whose criteria are both missing or at least ``threshold`` alike.
 
     ``split`` and ``source`` are those of the other record; ``same`` says that all four fields are equal when folded.
-    A pair whose texts have likeness t is routed to one shard with probability ``1 - (1 - t**ROWS)**BANDS``, 0.9996 at 0.6,
-    and with certainty if ``exact``, when every training text goes to every shard.
     """
     records = staged_records(split_records(df, train))
     kh = F.xxhash64("kind").alias("kh")
@@ -436,7 +368,7 @@ def overlapping(df: DataFrame, threshold: float = 0.6, train: str = "train", exa
     heads = one_head(records, {"train text": ("thead AND train", text_key), "text": ("thead AND NOT train", text_key), "train": ("head AND train", key), "other": ("head AND NOT train", key)})
     a, b = (heads[n].select("tcls", "talt", kh, "text") for n in ("train text", "text"))
     equal = a.select("tcls", "talt").join(b.select("tcls", "talt"), ["tcls", "talt"], "left_semi").select(F.col("tcls").alias("a"), F.col("talt").alias("aa"), F.col("tcls").alias("b"), F.col("talt").alias("ab"))
-    found = stage(alike_classes(a, b, threshold, exact), "alike-texts")
+    found = stage(alike_classes(a, b, threshold), "alike-texts")
 
     def check_criteria(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
