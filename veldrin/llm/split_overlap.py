@@ -3,10 +3,11 @@
 Equal texts of a type are one text class, whatever their criteria. The evaluation classes of a type are laid into
 shards, and its training classes are streamed through backward search on a compressed full-text index of each shard
 (a wavelet matrix over the transform of the shard's texts). Two texts that are alike enough share one of the rarest
-pieces of both, so these are looked up and marked in the index; pieces that stand in the same places one after another
-are one maximal match. The marks in a match's rows give the evaluation texts, whose spans are merged and counted:
-what a pair must share follows from the likeness, so that neither this count nor the parity of the pieces rules out a
-pair that is alike enough. What is left is checked exactly: texts first, then the criteria of all records with them.
+pieces of both, so only these are looked up, and only their texts kept with the index; pieces that stand in the same
+places one after another are one maximal match. The matches of a training text lead to evaluation texts, where they
+are merged: how large a text may be, how many rarer pieces it may have and in how many the parity of its pieces may
+differ all follow from the likeness, so that no pair is ruled out that is alike enough. What is left is counted
+exactly: shared pieces of the texts first, then of the criteria of all records with them.
 
 Evaluation texts, then the training texts for them, reach a task through one shuffle by shard, so the index is read
 through Spark and neither side passes through the driver. No pair is lost; the search grows with the training texts
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold, fold_codes, likeness, mix, piece_keys, pieces, to_codes, to_texts
+from ..functions.folding import fold, fold_codes, likeness, mix, piece_keys, pieces, sorted_unique, to_codes, to_texts
 from ..functions.strict_json import read, sorted_text
 from ..plans.staging import stage
 from .near_duplicates import one_head, staged_records, text_hash
@@ -145,8 +146,7 @@ class Rare(NamedTuple):
     place: np.ndarray
     low: np.ndarray  #: rows of the index that begin with the piece
     high: np.ndarray
-    most: np.ndarray  #: for each text, how often its commonest rare piece stands in the shard
-    rest: np.ndarray  #: and how many pieces it has besides the rare ones
+    rarer: np.ndarray  #: how many pieces of the text are rarer than this one
 
 
 def rarest(index: TextIndex, row: np.ndarray, place: np.ndarray, symbol: np.ndarray, size: np.ndarray, threshold: float) -> Rare:
@@ -155,23 +155,23 @@ def rarest(index: TextIndex, row: np.ndarray, place: np.ndarray, symbol: np.ndar
     low, high = index.whole(three & 0x1FFFFF)
     for shift in (21, 42):
         low, high = index.step(three >> shift & 0x1FFFFF, low, high)
-    count = (high - low)[at]
+    key = row << 32 | (high - low)[at]
     may_lack = size - np.ceil(threshold * size - 1e-6).astype(np.int64)
-    in_order = np.sort(row << 32 | count)
+    begin = np.cumsum(size) - size
+    in_order = np.sort(key)
     has = np.flatnonzero(size)
     most = np.zeros(len(size), np.int64)
-    most[has] = in_order[(np.cumsum(size) - size + may_lack)[has]] & 0xFFFFFFFF
-    rare = count <= most[row]
-    rest = size - np.bincount(row[rare], minlength=len(size))
-    rare &= count > 0
-    return Rare(row[rare], place[rare], low[at[rare]], high[at[rare]], most, rest)
+    most[has] = in_order[(begin + may_lack)[has]]
+    rare = np.flatnonzero((key <= most[row]) & ((key & 0xFFFFFFFF) > 0))
+    rarer = np.searchsorted(in_order, key[rare]) - begin[row[rare]]
+    return Rare(row[rare], place[rare], low[at[rare]], high[at[rare]], rarer)
 
 
-def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the maximal matches of rare pieces begin, and how many pieces each has.
+def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> np.ndarray:
+    """Where the maximal matches of rare pieces begin among them.
 
     Neighbouring pieces of a text that stand in the very same places of the index are one match: the four characters
-    of both stand as often as each.
+    of both stand as often as each. All its pieces lead to the same texts, so one of them is looked up.
     """
     count = rare.high - rare.low
     joined = np.zeros(len(count), bool)
@@ -179,8 +179,7 @@ def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> tuple[n
     open_ = np.flatnonzero(joined)
     low, high = index.step(symbol[rare.place[open_] - 1], rare.low[open_], rare.high[open_])
     joined[open_] = high - low == count[open_]
-    begin = np.flatnonzero(~joined)
-    return begin, np.diff(np.append(begin, len(count)))
+    return np.flatnonzero(~joined)
 
 
 def parities(texts: list[str]) -> np.ndarray:
@@ -196,42 +195,43 @@ def parities(texts: list[str]) -> np.ndarray:
 
 
 class Shard:
-    """Evaluation texts with their index; of each row of the index that is a rare piece of its text, the text."""
+    """Evaluation texts with their index; for the rows of each piece, the texts of which it is a rare piece, by size."""
 
     def __init__(self, texts: list[str], threshold: float):
         row, place, codes, starts = distinct_pieces(texts)
-        self.texts, self.threshold = texts, threshold
+        self.texts, self.threshold, self.share = texts, threshold, threshold / (1 + threshold)
         self.size = np.bincount(row, minlength=len(texts))
         self.index = TextIndex(codes, starts)
         rare = rarest(self.index, row, place, self.index.symbols(codes), self.size, threshold)
-        self.most, self.rest = rare.most, rare.rest
-        row_of = np.empty(self.index.n, np.int64)  # row of each place
-        row_of[self.index.order] = np.arange(self.index.n)
-        marked = row_of[rare.place + rare.row]
-        by_row = np.argsort(marked)
-        self.marked, self.of = marked[by_row], rare.row[by_row]
+        key = rare.low << 31 | self.size[rare.row]
+        order = np.argsort(key)
+        self.keys, self.of, self.rarer = key[order], rare.row[order].astype(np.int32), rare.rarer[order].astype(np.int32)
         self.parity = parities(texts)
         del self.index.order
 
     def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Training and evaluation texts that are alike enough."""
+        """Training and evaluation texts that are alike enough.
+
+        Of two texts with m and n pieces, ``share * (m + n)`` must be common. If a piece is the rarest one that they share,
+        those that are rarer aren't common, which bounds n and the number of rarer pieces in the other text.
+        """
         row, place, codes, _ = distinct_pieces(texts)
         size, symbol = np.bincount(row, minlength=len(texts)), self.index.symbols(codes)
         rare = rarest(self.index, row, place, symbol, size, self.threshold)
-        begin, weight = maximal_matches(self.index, rare, symbol)
-        low, high = np.searchsorted(self.marked, rare.low[begin]), np.searchsorted(self.marked, rare.high[begin])
-        a, b, shared = self.merged(rare.row[begin], weight, low, high)
-        needed = np.ceil(self.threshold / (1 + self.threshold) * (size[a] + self.size[b]) - 1e-6).astype(np.int64)
-        # pieces that both have beside the counted ones are commoner than the rare ones of either text
-        rest_a, rest_b = rare.rest[a], self.rest[b]
-        more = np.where(rare.most[a] < self.most[b], rest_a, np.where(rare.most[a] > self.most[b], rest_b, np.minimum(rest_a, rest_b)))
-        good = (shared + more >= needed) & (needed <= np.minimum(size[a], self.size[b]))
-        a, b, needed = a[good], b[good], needed[good]
+        match = maximal_matches(self.index, rare, symbol)
+        of, rarer, m = rare.row[match], rare.rarer[match], size[rare.row[match]]
+        least, most = np.ceil(self.threshold * m - 1e-6).astype(np.int64), np.floor((m - rarer) / self.share - m + 1e-6).astype(np.int64)
+        low = np.searchsorted(self.keys, rare.low[match] << 31 | least)
+        high = np.searchsorted(self.keys, rare.low[match] << 31 | np.maximum(most, 0), "right")
+        a, b = self.merged(of, size, low, np.maximum(high, low))
         own, found = parities(texts), []
+        differ_at_most = lambda x, y: size[x] + self.size[y] - 2 * np.ceil(self.share * (size[x] + self.size[y]) - 1e-6)
         for at in range(0, len(a), LOOKED // 16):
             x, y = a[at : at + LOOKED // 16], b[at : at + LOOKED // 16]
-            differ = np.bitwise_count(own[x] ^ self.parity[y]).sum(axis=1, dtype=np.int64)
-            found.append(at + np.flatnonzero(differ <= size[x] + self.size[y] - 2 * needed[at : at + LOOKED // 16]))
+            differ = np.bitwise_count(own[x, :4] ^ self.parity[y, :4]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(differ <= differ_at_most(x, y))
+            differ = differ[near] + np.bitwise_count(own[x[near], 4:] ^ self.parity[y[near], 4:]).sum(axis=1, dtype=np.int64)
+            found.append(at + near[differ <= differ_at_most(x[near], y[near])])
         left = np.concatenate([np.zeros(0, np.int64), *found])
         a, b = a[left], b[left]
         alike = np.zeros(len(a), bool)
@@ -240,32 +240,20 @@ class Shard:
             alike[at : at + BLOCK] = likeness([texts[i] for i in x.tolist()], [self.texts[i] for i in y.tolist()]) >= self.threshold
         return a[alike], b[alike]
 
-    def merged(self, row: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Training text, evaluation text, and how many pieces their matches have in common: the spans of all matches
-        that lead to one evaluation text, merged."""
+    def merged(self, of: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training and evaluation texts that any match leads to; the matches of a pair are merged."""
         total = np.cumsum(high - low)
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def add(key: np.ndarray, value: np.ndarray) -> None:
-            order = np.argsort(key)
-            key, value = key[order], value[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            keys.append(key[first])
-            sums.append(np.add.reduceat(value, first))
-
-        begin = 0
-        while begin < len(row):
+        pairs, begin = [np.zeros(0, np.int64)], 0
+        while begin < len(of):
             end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + LOOKED, "right")))
             n = (high - low)[begin:end]
-            if n.any():
-                add(np.repeat(row[begin:end], n) << 32 | self.of[ragged(low[begin:end], n)], np.repeat(weight[begin:end], n))
+            at, a = ragged(low[begin:end], n), np.repeat(of[begin:end], n)
+            b = self.of[at].astype(np.int64)
+            good = self.size[b] - self.rarer[at] >= np.ceil(self.share * (size[a] + self.size[b]) - 1e-6)
+            pairs.append(sorted_unique(a[good] << 32 | b[good]))
             begin = end
-        if len(keys) > 2:  # a text's matches may lie in several slices
-            key, value = np.concatenate(keys), np.concatenate(sums)
-            keys, sums = [], []
-            add(key, value)
-        key, value = np.concatenate(keys), np.concatenate(sums)
-        return key >> 32, key & 0xFFFFFFFF, value
+        pair = sorted_unique(np.concatenate(pairs))
+        return pair >> 32, pair & 0xFFFFFFFF
 
 
 def criteria_text(text: str | None) -> str | None:
