@@ -61,10 +61,45 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame([(d, t, "x", None, 0, "") for d, t in docs], DOCS).repartition(4)
     it = spark.createDataFrame(items, "item_id long, item_text string")
     rows = leaks.leaked_items(df, it).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want) > 20
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["longest"] >= 40} == want and len(want) > 20
+    passages = {i: {t[k : k + 40] for k in range(len(t) - 39)} for i, t in folded.items()}
+    texts = {d: fold(t) for d, t in docs if d is not None and t and d < 25}
+    least = {(d, i): min(edit(p, t) for p in ps) for d, t in texts.items() for i, ps in passages.items() if ps and i < 8}
+    near = {pair for pair, k in least.items() if k <= 2}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in rows}
+    assert {p for p in got if p[0] < 25 and p[1] < 8} == near and all(got[p] == least[p] for p in near)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(df, it, errors=0).collect()} == want
     assert leaks.leaked_items(df.where("false"), it).count() == leaks.leaked_items(df, it.where("false")).count() == 0
 
 
+def test_an_item_with_an_edit_every_thirty_characters(spark):
+    rng = random.Random(14)
+    item = "".join(rng.choice("あいうえおかきくけこabcd漢字") for _ in range(240))
+    other = list(item)
+    for k in range(15, 240, 30):
+        other[k] = "ん"
+    docs = spark.createDataFrame([(1, "前 " + "".join(other) + " 後", None, None, 0, ""), (2, item[::-1], None, None, 0, "")], DOCS)
+    found = leaks.leaked_items(docs, spark.createDataFrame([(7, item)], "item_id long, item_text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in found] == [(1, 7, 1)] and found[0]["longest"] < 40
+
+
+def test_distances_decide(spark):
+    rng = random.Random(15)
+    draw = lambda n: "".join(rng.choice("あいうえおabcd漢字") for _ in range(n))
+    item = draw(90)
+    docs = spark.createDataFrame([(k, draw(30) + item[10 * k : 10 * k + 10] + draw(30), None, None, 0, "") for k in range(9)], DOCS)
+    it = spark.createDataFrame([(7, item)], "item_id long, item_text string")
+    own = leaks.Items([7], [item], 40, 2)
+    assert sum(len(h) for h in own.hits([r["text"] for r in docs.collect()], set())) == 9
+    assert leaks.leaked_items(docs, it).count() == 0  # pieces are hit, and Myers' distance rules them all out
+
+
+def test_a_million_equal_characters(spark):
+    items = spark.createDataFrame([(1, "あ" * 60), (2, "あ" * 35 + "いろはにほへと" * 3)], "item_id long, item_text string")
+    docs = spark.createDataFrame([(1, "あ" * 1_000_000, None, None, 0, "")], DOCS)
+    assert [(r["item_id"], r["longest"] >= 40) for r in leaks.leaked_items(docs, items, errors=0).collect()] == [(1, True)]
+
+
 def test_leaks_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(leaks, "PASS_CHARACTERS", 100)
     items = spark.createDataFrame([(i, chr(0x3042 + i) * 45 + str(i)) for i in range(6)], "item_id long, item_text string")
@@ -83,15 +118,30 @@ def edit(pattern, text):
     return min(row)
 
 
+def anchored(pattern, text, errors):
+    """The most first characters of the pattern within the errors of some first characters of the text."""
+    row = list(range(len(text) + 1))
+    best = [0] * (errors + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
+        row = new
+        best = [i if min(row) <= e else b for e, b in enumerate(best)]
+    return best
+
+
 def test_bit_parallel_distance():
     rng = random.Random(7)
-    pairs = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 64))), "".join(rng.choice("abc") for _ in range(100))) for _ in range(60)]
-    patterns = np.zeros((60, 64), np.uint32)
-    for k, (p, _) in enumerate(pairs):
-        patterns[k, : len(p)] = [ord(c) for c in p]
-    texts = np.array([[ord(c) for c in t] for _, t in pairs], np.uint32)
-    got = leaks.least_distance(patterns, np.array([len(p) for p, _ in pairs]), texts)
-    assert got.tolist() == [edit(p, t) for p, t in pairs]
+    for width in (1, 5, 30, 63):
+        pairs = []
+        for _ in range(60):
+            p = [rng.choice("abc") for _ in range(width)]
+            t = [c if rng.random() > 0.1 else rng.choice("abc") for c in p]
+            del t[rng.randrange(width)]
+            pairs.append(("".join(p), ("".join(t) + "abcabc")[: width + 3]))
+        patterns, texts = (np.array([[ord(c) for c in x[k]] for x in pairs], np.uint32) for k in (0, 1))
+        assert leaks.reaches(patterns, texts, 3).tolist() == [anchored(p, t, 3) for p, t in pairs]
 
 
 def test_truncation(spark):
