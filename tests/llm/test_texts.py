@@ -36,6 +36,20 @@ def test_ids_equal_the_library(spark):
     assert tokens.encoded(df.where("false")).count() == 0
 
 
+@pytest.mark.skipif(not Path(tokens.TOKENIZERS).exists(), reason="no tokenizers here")
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        tokens.pair_ranks(f"{tokens.TOKENIZERS}/word_bpe_49k.json")
+
+
+@pytest.mark.skipif(not Path(tokens.TOKENIZERS).exists(), reason="no tokenizers here")
+def test_words_that_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 3)
+    words = tokens.Words(tokens.pair_ranks(f"{tokens.TOKENIZERS}/byte_bpe_50k.json"))
+    first = [words.encode(["one two three four", None, "", "one"]) for _ in range(3)]
+    assert all((a[0] == first[0][0]).all() and (a[1] == first[0][1]).all() for a in first) and first[0][1].tolist() == [4, 0, 0, 1]
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     alphabet = "あいうえおabcd漢字12"

@@ -11,6 +11,7 @@ Null and empty texts have an empty list of ids. Special tokens' strings are ordi
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,6 +29,8 @@ TOKENIZERS = "/opt/tokenizers"
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
 BLOCK = 500
+#: Words whose ids a task keeps.
+CACHED = 200_000
 #: Symbols that one step's trees hold at most, but for a single longer word.
 STEP_SYMBOLS = 1 << 19
 
@@ -38,7 +41,11 @@ class PairRanks:
     """Ranks of mergeable pairs and the ids they become, in an open hash table that whole arrays are looked up in."""
 
     def __init__(self, path: str):
-        model = json.loads(Path(path).read_text())["model"]
+        whole = json.loads(Path(path).read_text())
+        model, cuts = whole["model"], whole.get("pre_tokenizer") or {}
+        plain = not (whole.get("normalizer") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"))
+        if not plain or model.get("type") != "BPE" or cuts.get("type") != "ByteLevel" or cuts.get("add_prefix_space") or not cuts.get("use_regex", True):
+            raise ValueError(f"{path} is not a byte-level BPE vocabulary that cuts words by the known pattern")
         vocab: dict[str, int] = model["vocab"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -174,24 +181,40 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def encode_block(texts: list[str | None], ranks: PairRanks, words: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a block of texts one after another, and the number of each."""
-    number: dict[str, int] = {}
-    found: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            own = words.findall(t)
-            sizes[i] = len(own)
-            found.extend([number.setdefault(w, len(number)) for w in own])
-    if not number:
-        return np.zeros(0, np.int32), sizes
-    ids, starts = encode_words([w.encode("utf-8", "surrogatepass") for w in number], ranks)
-    use = np.array(found, np.int64)
-    counts = np.diff(starts)[use]
-    edges = np.concatenate([[0], np.cumsum(counts)])
-    ends = np.cumsum(sizes)
-    return ids[ragged(starts[use], counts)], edges[ends] - edges[ends - sizes]
+class Words:
+    """Ids of the words that a task has met, up to ``CACHED`` of them; then it starts afresh."""
+
+    def __init__(self, ranks: PairRanks):
+        self.ranks, self.pattern = ranks, regex.compile(WORDS)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts one after another, and the number of each."""
+        number, known = self.number, len(self.number)
+        found: list[int] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                own = self.pattern.findall(t)
+                sizes[i] = len(own)
+                found.extend([number.setdefault(w, len(number)) for w in own])
+        if len(number) > known:
+            new = [w.encode("utf-8", "surrogatepass") for w in itertools.islice(number, known, None)]
+            ids, starts = encode_words(new, self.ranks)
+            self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+        use = np.array(found, np.int64)
+        counts = np.diff(self.starts)[use]
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.cumsum(sizes)
+        out = self.ids[ragged(self.starts[use], counts)], edges[ends] - edges[ends - sizes]
+        if len(number) > CACHED or len(self.ids) > 8 * CACHED:
+            self.clear()
+        return out
 
 
 def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -199,11 +222,11 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     path = f"{folder}/{vocabulary}.json"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, words = pair_ranks(path), regex.compile(WORDS)
+        words = Words(pair_ranks(path))
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(at, BLOCK)
-                ids, sizes = encode_block(b.column(1).to_pylist(), ranks, words)
+                ids, sizes = words.encode(b.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "ids"])
 
