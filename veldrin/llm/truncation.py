@@ -31,20 +31,22 @@ ORDER = 12
 BLOCK = 500
 #: Texts that a task remembers as already seen before it starts afresh.
 REMEMBERED = 500_000
-FILTER_BITS = 22
+#: Bits of the filter for each final context, and how many bits it has at least and at most (32 MB, which is broadcast).
+BITS_A_CONTEXT, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Weight of the shorter context in that of the longer one.
 KAPPA = 100.0
 #: What the end of a line counts for against the end of a text.
 LINE = 0.1
-#: Log-odds between which the threshold of a group is looked for, the width of a bin, and what holds for small groups.
-LOWEST, HIGHEST, BIN, DEFAULT = -5.5, -4.25, 0.25, -4.75
-#: Texts from which a language, and a source within a language, gets a threshold of its own.
-OWN_LANGUAGE, OWN_SOURCE = 500, 5000
+#: Log-odds above those of ending anywhere between which the threshold of a group is looked for, and the width of a bin.
+LOWEST, HIGHEST, BIN = 0.75, 2.0, 0.25
+#: Texts whose weight the threshold of all has in that of a language, and that of a language in that of its sources.
+WEIGHT_OF_ALL, WEIGHT_OF_LANGUAGE = 500, 5000
 #: How much more a text at a size where its source piles up may speak for an end and still be a cut.
 AT_LIMIT = 0.6
-#: A size is a limit where so many times as many texts of its source have it as other sizes up to ``AROUND`` away.
-PILED, AROUND, LEAST_PILE = 10, 25, 5
-#: Blanks and omission marks that may follow a cut.
+#: A size is a limit where so many times as many texts of its source have it as other sizes up to ``AROUND`` away, each of
+#: which counts as half a text at least.
+PILED, AROUND, LEAST_OTHERS = 10, 25, 0.5
+#: Blanks and omission marks that may follow a cut; fixed values.
 TAIL = regex.compile(r"(?:\s|…|‥|⋯|\.{2,}|�|\[(?:\.{3}|…|truncated|cut|more|続く|以下略|省略)\]|[(（](?:\.{3}|…|truncated|cut|more|続く|以下略|省略)[)）])+\Z", regex.IGNORECASE)
 
 _U = np.uint64
@@ -70,6 +72,17 @@ def _classes() -> np.ndarray:
     return out
 
 
+class Filter:
+    """Lets through all contexts whose bit is set."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, ctx: np.ndarray) -> np.ndarray:
+        at = (ctx >> _U(20) & _U(64 * len(self.words) - 1)).astype(np.int64)
+        return (self.words[at >> 6] >> (at & 63).astype(_U) & _U(1)).astype(bool)
+
+
 class Symbols:
     """The texts of a block (each with one character at least) as symbols.
 
@@ -112,7 +125,7 @@ class Symbols:
         breaks[self.ends] = False
         self.breaks = breaks.astype(_U)
 
-    def contexts(self, at: np.ndarray, open_: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def contexts(self, at: np.ndarray, open_: Filter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each order, characters and the hashes (even numbers) of the symbols that end there.
 
         Characters before which the text has no further symbol drop out, and so do those that a filter ``open_`` keeps
@@ -125,7 +138,7 @@ class Symbols:
                 at, h = at[there], h[there]
             h = mix(h * _U(0x9E3779B97F4A7C15) + (self.value[at] if n == 0 else self.whole[self.run[at] - n]) + _U(n + 1))
             if open_ is not None:
-                passed = open_[_bit(h & ~_U(1))]
+                passed = open_.has(h & ~_U(1))
                 at, h = at[passed], h[passed]
             yield at, h & ~_U(1)
 
@@ -169,29 +182,22 @@ def final_contexts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, source string, lang string, same long, chars int, bytes int, ctx array<long>")
 
 
-def _bit(ctx: np.ndarray) -> np.ndarray:
-    return (mix(ctx.view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
-
-
 def endings(ends: DataFrame) -> DataFrame:
     """``(ctx, ends)``: final contexts and how many different texts end with them."""
     distinct = ends.groupBy("same").agg(F.first("ctx").alias("ctx"))
     return distinct.select(F.explode("ctx").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("ends"))
 
 
-def bitmap(known: DataFrame) -> np.ndarray:
-    """A filter of fixed size that lets through every final context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for b in batches:
-            bits[_bit(b.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for (one,) in known.select("ctx").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(one, np.uint8)
-    return np.unpackbits(bits).astype(bool)
+def final_filter(known: DataFrame) -> Filter:
+    """A filter that lets through every final context, of a size in proportion to their number up to ``MOST_BITS``."""
+    bits = min(max(known.count() * BITS_A_CONTEXT, LEAST_BITS), MOST_BITS)
+    size = 1 << int(bits - 1).bit_length()
+    at = F.shiftrightunsigned("ctx", 20).bitwiseAND(F.lit(size - 1))
+    word, bit = F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = known.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
+    out = np.zeros(size // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return Filter(out.view(_U))
 
 
 def different_texts(docs: DataFrame) -> DataFrame:
@@ -209,13 +215,13 @@ def different_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "same long, text string").groupBy("same").agg(F.first("text").alias("text")).select("text")
 
 
-def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def occurrences(docs: DataFrame, final: Filter) -> DataFrame:
     """``(ctx, n, lines)``: how often contexts that pass the filter stand anywhere in the different texts, and at a
     line's end."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = docs.sparkSession.sparkContext.broadcast(final.words)  # MOST_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = np.unpackbits(shared.value).astype(bool)
+        open_ = Filter(shared.value)
         for _, _, texts in _blocks(batches, 0):
             own = Symbols(texts)
             every = np.sort(np.concatenate([h | own.breaks[at] for at, h in own.contexts(np.arange(len(own.value)), open_)]))
@@ -229,20 +235,22 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def end_odds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """``(doc_id, source, lang, same, chars, bytes, log_odds)`` of every text that isn't blank: of ending where it does
-    against going on; ``same`` are 64 bits of the text."""
+    against going on, above those of ending anywhere, so that they don't depend on how long texts are; ``same`` are 64
+    bits of the text."""
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     ends = stage(final_contexts(slim), "ends")
     known = stage(endings(ends), "endings")
-    model = stage(known.join(occurrences(slim, bitmap(known)), "ctx"), "end-model")
+    model = stage(known.join(occurrences(slim, final_filter(known)), "ctx"), "end-model")
     n, total = ends.groupBy("same").agg(F.first("chars").alias("chars")).agg(F.count("*"), F.sum("chars")).first()
-    base = (n or 0) / max(total or 0, 1)
+    base = min((n or 0) / max(total or 0, 1), 0.5) or 0.5
+    anywhere = float(np.log(base / (1 - base)))
     looked = ends.select("doc_id", F.posexplode("ctx").alias("order", "ctx")).distinct().join(model, "ctx")
     per_text = looked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "ends", "n", "lines"))).alias("seen"))  # ORDER entries at most
     smooth = lambda p, x: F.least(F.lit(1.0), (x["ends"] - 1 + LINE * x["lines"] + KAPPA * p) / (x["n"] - 1 + KAPPA))
     scored = ends.drop("ctx").distinct().join(per_text, "doc_id", "left")
     p = F.aggregate(F.coalesce("seen", F.array().cast("array<struct<order:int,ends:bigint,n:bigint,lines:bigint>>")), F.lit(base), smooth)
     kept = ["doc_id", "source", "lang", "same", "chars", "bytes"]
-    return scored.select(*kept, p.alias("p")).select(*kept, F.log(F.col("p") / F.greatest(F.lit(1e-9), 1 - F.col("p"))).alias("log_odds"))
+    return scored.select(*kept, p.alias("p")).select(*kept, (F.log(F.col("p") / F.greatest(F.lit(1e-9), 1 - F.col("p"))) - anywhere).alias("log_odds"))
 
 
 def language(col: Column) -> Column:
@@ -252,22 +260,25 @@ def language(col: Column) -> Column:
 
 def thresholds(odds: DataFrame) -> DataFrame:
     """``(lang, source, threshold)``: where the log-odds of a language and source are fewest between those of cut and of
-    whole texts; small sources take their language's threshold, small languages the default."""
+    whole texts, with that of its language, and in that the one of all texts, weighing as much as so many texts."""
     bin_ = F.floor((F.col("log_odds") - LOWEST) / BIN).cast("int")
     counted = odds.groupBy("lang", "source", bin_.alias("bin")).agg(F.count("*").alias("n"))
     last = round((HIGHEST - LOWEST) / BIN)
     bins = [F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)) for b in range(-1, last + 1)]
 
-    def lowest(by: list[str], least: int, name: str) -> DataFrame:
-        sums = counted.groupBy(*by).agg(F.sum("n").alias("texts"), F.array(*bins).alias("bins"))
+    def lowest(by: list[str], name: str) -> DataFrame:
+        sums = counted.groupBy(*by).agg(F.sum("n").alias(f"{name}_n"), F.array(*bins).alias("bins"))
         smooth = F.transform(F.sequence(F.lit(1), F.lit(last)), lambda b: F.struct((F.get("bins", b - 1) + 2 * F.get("bins", b) + F.get("bins", b + 1)).alias("n"), (-b).alias("b")))
         at = F.array_min(smooth)["b"]
-        return sums.where(F.col("texts") >= least).select(*by, (LOWEST + BIN * (-at - F.lit(0.5))).alias(name))
+        return sums.select(*by, f"{name}_n", (LOWEST + BIN * (-at - F.lit(0.5))).alias(name))
 
-    groups = counted.select("lang", "source").distinct()
-    by_source = lowest(["lang", "source"], OWN_SOURCE, "own").select(F.col("lang").alias("l"), F.col("source").alias("s"), "own")
-    joined = groups.join(lowest(["lang"], OWN_LANGUAGE, "of_language"), "lang", "left").join(by_source, (F.col("lang") == F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    return joined.select("lang", "source", F.coalesce("own", "of_language", F.lit(DEFAULT)).alias("threshold"))
+    of_all = lowest([], "all_texts")
+    by_language = lowest(["lang"], "language").crossJoin(F.broadcast(of_all))  # one row
+    n = F.col("language_n")
+    by_language = by_language.select("lang", ((n * F.col("language") + WEIGHT_OF_ALL * F.col("all_texts")) / (n + WEIGHT_OF_ALL)).alias("language"))
+    n = F.col("own_n")
+    joined = lowest(["lang", "source"], "own").join(by_language, "lang")
+    return joined.select("lang", "source", ((n * F.col("own") + WEIGHT_OF_LANGUAGE * F.col("language")) / (n + WEIGHT_OF_LANGUAGE)).alias("threshold"))
 
 
 def limits(odds: DataFrame) -> DataFrame:
@@ -276,7 +287,7 @@ def limits(odds: DataFrame) -> DataFrame:
     sizes = odds.select("source", unit).groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-AROUND, AROUND)
     others = (F.sum("n").over(near) - F.col("n")) / (2 * AROUND)
-    return sizes.withColumn("others", others).where((F.col("n") >= LEAST_PILE) & (F.col("n") >= PILED * F.greatest("others", F.lit(0.2)))).select("source", "unit", "size")
+    return sizes.withColumn("others", others).where(F.col("n") >= PILED * F.greatest("others", F.lit(LEAST_OTHERS))).select("source", "unit", "size")
 
 
 def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
