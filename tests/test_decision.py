@@ -7,7 +7,7 @@ from veldrin.functions import decision as D
 from veldrin.functions.scorer import HashScorer, with_logits
 from veldrin.operators import calibration, metrics
 from veldrin.operators.candidates import first_error, option_rows
-from veldrin.operators.learning import train_head
+from veldrin.operators.learning import train_head, train_heads
 
 
 def one(spark, expr, **values):
@@ -97,3 +97,32 @@ def test_scorer_does_not_depend_on_batches(spark):
     a = {r["id"]: r["logits"] for r in with_logits(df.repartition(7), HashScorer(), "prompt", "shown").collect()}
     b = {r["id"]: r["logits"] for r in with_logits(df.coalesce(1), HashScorer(), "prompt", "shown").collect()}
     assert a == b and a["0"] is None and a["e"] is None and len(a["n"]) == 2
+
+
+def test_training_equals_a_plain_run(spark):
+    rng = np.random.default_rng(3)
+    x, count, dev = rng.normal(size=(60, 3)), rng.integers(2, 5, 60), rng.random(60) < 0.3
+    z, gold = rng.normal(size=(60, 4)), rng.integers(0, count)
+    rows = spark.createDataFrame([(x[i].tolist(), z[i, : count[i]].tolist(), int(gold[i]), bool(dev[i])) for i in range(60)], "x array<double>, z array<double>, gold int, dev boolean").repartition(3)
+    history = []
+    train_heads(rows, 4, 3, rates=(0.05,), penalties=(0.1,), epochs=12, every=4, controls=("bias", "residual"), history=history)
+    want = []
+    for control in ("bias", "residual"):
+        theta, m, v = np.zeros((4, 4)), np.zeros((4, 4)), np.zeros((4, 4))
+        xs, there = np.concatenate([x, np.ones((60, 1))], axis=1), np.arange(4) < count[:, None]
+        for epoch in range(13):
+            delta = xs @ theta.T
+            logits = np.where(there, z + delta, -np.inf)
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            if epoch % 4 == 0:
+                want.append((control, 0.05, 0.1, epoch, -np.log(p[np.arange(60), gold])[dev].mean()))
+            own, t = p - np.eye(4)[gold], ~dev
+            g = own[t].T @ xs[t] / t.sum() + 0.1 * 2 * np.where(there, delta, 0)[t].T @ xs[t] / there[t].sum()
+            if control == "bias":
+                g[:, :-1] = 0
+            g *= min(1.0, 5.0 / (np.sqrt((g * g).sum()) + 1e-6))
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - 0.05 * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+    assert [h[:4] for h in sorted(history)] == [w[:4] for w in sorted(want)]
+    assert max(abs(h[4] - w[4]) for h, w in zip(sorted(history), sorted(want))) < 1e-9

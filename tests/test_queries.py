@@ -1,5 +1,6 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import inspect
 import math
 from pathlib import Path
 
@@ -8,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from veldrin import catalogue
+from veldrin.operators.learning import train_heads
 
 FOLDER = Path("/root/testdata/sf0.001")
 QUERIES, SQL = {n: q for n, q in __spark_entry__.queries().items() if n in catalogue.QUERIES}, catalogue.ORACLE_SQL
@@ -49,21 +51,12 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["linear_head", "scored_cases", "export_round_trip", "p4_nodes", "p4_entities"])
+@pytest.mark.parametrize("name", ["linear_head", "scored_cases", "export_round_trip", "p4_nodes", "p4_entities", "canonical_leakage", "canonical_repeats"])
 def test_query_without_sql_runs(spark, name):
     rows = QUERIES[name](spark, str(FOLDER)).count()
     assert rows == 0 if name == "export_round_trip" else rows > 0
 
 
-@pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
-def test_linear_head_runs_the_whole_search(spark, monkeypatch):
-    asked = {}
-
-    def remember(rows, candidates, features, **settings):
-        asked.update(settings)
-        return train_head(rows, candidates, features, epochs=0)
-
-    train_head = catalogue.train_head
-    monkeypatch.setattr(catalogue, "train_head", remember)
-    assert QUERIES["linear_head"](spark, str(FOLDER)).count() > 0
-    assert asked["epochs"] == 120 and len(asked["rates"]) == len(asked["penalties"]) == 2
+def test_linear_head_runs_the_whole_search():
+    asked = {n: p.default for n, p in inspect.signature(train_heads).parameters.items()}
+    assert asked["epochs"] == 120 and len(asked["rates"]) == len(asked["penalties"]) == len(asked["controls"]) == 2

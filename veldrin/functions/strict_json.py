@@ -78,8 +78,9 @@ def read(text: str, pairs: Callable = dict, number: Callable = Number) -> object
         return _stacked(text, pairs, number)
 
 
-def sorted_text(value: object) -> str:
-    """A value of dictionaries and lists as JSON text with sorted keys, whatever its depth."""
+def sorted_text(value: object, text: Callable[[str], str] = str) -> str:
+    """A value of dictionaries and lists as JSON text with sorted keys, whatever its depth; ``text`` rewrites strings that
+    aren't keys."""
     out: list[str] = []
     todo: list[object] = [(value,)]
     while todo:
@@ -99,5 +100,5 @@ def sorted_text(value: object) -> str:
                 todo += [(v[k],), ", "] if k else [(v[k],)]
             todo.append("[")
         else:
-            out.append(str(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False))
+            out.append(str(v) if isinstance(v, Number) else json.dumps(text(v) if isinstance(v, str) else v, ensure_ascii=False))
     return "".join(out)

@@ -1,8 +1,8 @@
 """Candidate sets of labelled cases: criteria as JSON text become ordered options.
 
 Choices are sorted by key, or stay as written; binary cases have ``false`` and ``true`` in this order, with default
-descriptions where criteria are missing; scores have their stages ``0, 1, ...``. Criteria that aren't valid for
-the type give no options. Nulls in other columns don't matter.
+descriptions where criteria are missing; scores have their stages ``0, 1, ...``. Criteria that aren't valid for the
+type, or that repeat a key, give no options; those of binary cases have both keys and no other. Nulls in other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ def kind_of(col: Column) -> Column:
 
 def options(kind: Column, criteria: Column, canonical: bool = True) -> Column:
     """The ordered options of a case as ``(key, description)`` structs."""
-    entries = F.transform(F.map_entries(F.from_json(criteria, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("description")))
+    strict = F.when(F.try_parse_json(criteria).isNotNull(), criteria)
+    entries = F.transform(F.map_entries(F.from_json(strict, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("description")))
     choice = F.array_sort(entries) if canonical else entries
-    binary = F.from_json(criteria, "map<string,string>")
+    binary = F.from_json(strict, "map<string,string>")
+    both = criteria.isNull() | (F.array_sort(F.map_keys(binary)) == F.array(F.lit("false"), F.lit("true")))
     noul = F.array(*(F.struct(F.lit(k).alias("key"), F.coalesce(F.try_element_at(binary, F.lit(k)), F.lit(k)).alias("description")) for k in ("false", "true")))
-    stages = F.transform(F.from_json(criteria, "array<string>"), lambda d, i: F.struct(i.cast("string").alias("key"), d.alias("description")))
-    return F.when(kind == "choice", choice.cast(OPTION)).when(kind == "noul", noul.cast(OPTION)).when(kind == "score", stages.cast(OPTION))
+    stages = F.transform(F.from_json(strict, "array<string>"), lambda d, i: F.struct(i.cast("string").alias("key"), d.alias("description")))
+    return F.when(kind == "choice", choice.cast(OPTION)).when((kind == "noul") & both, noul.cast(OPTION)).when(kind == "score", stages.cast(OPTION))
 
 
 def with_options(cases: DataFrame, canonical: bool = True) -> DataFrame:

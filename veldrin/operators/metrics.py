@@ -46,11 +46,11 @@ def losses(scored: DataFrame, by: Sequence[str] = (), floor: float = 1e-300) ->
 
 
 def reliability(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
-    """``(bin, n, mean_confidence, accuracy)`` of equal-width bins, empty ones too."""
+    """``(bin, lower, upper, n, mean_confidence, accuracy)`` of equal-width bins, empty ones too; ``rows`` are valid answers."""
     inside = F.least(F.lit(bins - 1), F.floor(F.col(confidence).cast("double") * bins)).cast("int")
     counted = rows.where(F.col(confidence).isNotNull()).groupBy(inside.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(confidence).cast("double")).alias("c"), F.avg(flag(correct).cast("double")).alias("a"))
     every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), rounded(F.col("c"), "mean_confidence"), rounded(F.col("a"), "accuracy"))
+    return every.join(counted, "bin", "left").select("bin", F.round(F.col("bin") / bins, 6).alias("lower"), F.round((F.col("bin") + 1) / bins, 6).alias("upper"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), rounded(F.col("c"), "mean_confidence"), rounded(F.col("a"), "accuracy"))
 
 
 def calibration_error(table: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +22,19 @@ def export(df: DataFrame, folder: str, columns: Sequence[str]) -> None:
     rows.write.mode("errorifexists").options(header=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(f"{folder}/csv")
 
 
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """An exported CSV, all columns as text."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).options(header=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("multiLine", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(path)
+
+
 def round_trip_differences(df: DataFrame, folder: str, columns: Sequence[str]) -> DataFrame:
     """Rows that the two exports and ``df`` don't have alike, with where they stand; empty for a faithful export."""
     spark = df.sparkSession
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = export_rows(df, columns)
     jsonl = spark.read.schema(schema).json(f"{folder}/jsonl")
-    csv = spark.read.schema(schema).options(header=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).option("multiLine", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(f"{folder}/csv")
+    csv = read_csv(spark, f"{folder}/csv", columns)
     parts = [(a.exceptAll(b)).withColumn("only_in", F.lit(name)) for name, a, b in (("data", rows, jsonl), ("jsonl", jsonl, rows), ("data", rows, csv), ("csv", csv, rows))]
     out = parts[0]
     for p in parts[1:]:

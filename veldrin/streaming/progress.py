@@ -36,7 +36,7 @@ def daily_progress(answers: DataFrame) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), right.alias("correct")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "engine", "n", "correct")
 
 
-def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
+def drained(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run a stream over all that is there now and give the last state of each key."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -44,7 +44,7 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
     schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
