@@ -3,7 +3,7 @@
 Every task turns its rows into sorted runs of distinct values and their counts, one for each group and column; this
 is the form in which separate days or loads are combined: unite their runs and select. Then, for all groups and
 percentiles together, each run proposes the median of its values that are still possible, the weighted median of
-the proposals becomes the pivot, all runs count what lies below, at and above it, and the side that can't hold the
+the proposals, first within tasks and then across them, becomes the pivot, all runs count what lies below, at and above it, and the side that can't hold the
 wanted rank is ruled out. Values that no percentile of their group can take any more leave the runs as they shrink.
 Once few enough are left for a percentile, they are ranked.
 
@@ -105,14 +105,26 @@ def _median(vals: np.ndarray, cum: np.ndarray, a: int, b: int) -> float:
     return vals[np.searchsorted(cum, base + (cum[b - 1] - base + 1) // 2)]
 
 
+def _weighted(proposals: list[tuple[float, int]]) -> float:
+    """The weighted lower median of ``(value, weight)``; NaN of none."""
+    if not proposals:
+        return np.nan
+    value, weight = (np.array(x) for x in zip(*sorted(proposals)))
+    cum = np.cumsum(weight)
+    return float(value[np.searchsorted(cum, (cum[-1] + 1) // 2)])
+
+
 def _counted(runs: DataFrame, state: DataFrame, groups: int) -> DataFrame:
-    """``KEY, i, below, at, above, low_median, high_median``: what each run says to each open percentile's pivot."""
+    """``KEY, i, below, at, above, low_median, high_median``: what the runs of a task together say to each open
+    percentile's pivot, one row for each task that holds values of its group: the counts are sums, the medians the weighted
+    ones of the runs' medians."""
     names = [*KEY, "i", "below", "at", "above", "low_median", "high_median"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[tuple, tuple[list[int], list, list]] = {}
         for b in batches:
-            out: list[tuple] = []
-            for row, (vals, counts, i, low, high, pivot) in enumerate(_lists(b, "vals", "counts", "i", "low", "high", "pivot")):
+            keys = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in KEY)))
+            for key, (vals, counts, i, low, high, pivot) in zip(keys, _lists(b, "vals", "counts", "i", "low", "high", "pivot")):
                 cum = np.cumsum(counts)
                 total = lambda x: int(cum[x - 1]) if x else 0
                 a, e = (x.tolist() for x in _places(vals, low, high))
@@ -120,10 +132,16 @@ def _counted(runs: DataFrame, state: DataFrame, groups: int) -> DataFrame:
                 for k in range(len(i)):
                     if a[k] < e[k]:
                         lo, up = max(a[k], min(x[k], e[k])), max(a[k], min(y[k], e[k]))
-                        out.append((row, int(i[k]), total(lo) - total(a[k]), total(up) - total(lo), total(e[k]) - total(up), _median(vals, cum, a[k], lo), _median(vals, cum, up, e[k])))
-            rows = pa.array([r[0] for r in out], pa.int64())
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)).take(rows) for k in KEY), *(pa.array([r[c + 1] for r in out], t) for c, t in enumerate(kinds))], names)
+                        sums, lows, highs = told.setdefault((*key, int(i[k])), ([0, 0, 0], [], []))
+                        below, above = total(lo) - total(a[k]), total(e[k]) - total(up)
+                        sums[0], sums[1], sums[2] = sums[0] + below, sums[1] + total(up) - total(lo), sums[2] + above
+                        if below:
+                            lows.append((_median(vals, cum, a[k], lo), below))
+                        if above:
+                            highs.append((_median(vals, cum, up, e[k]), above))
+        rows = [(*key, *sums, _weighted(lows), _weighted(highs)) for key, (sums, lows, highs) in told.items()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
 
     return _matched(runs, state, groups).select(*KEY, "vals", "counts", "i", "low", "high", "pivot").mapInArrow(run, "dimension string, grp string, metric string, i int, below long, at long, above long, low_median double, high_median double")
 
@@ -172,12 +190,13 @@ def _gathered(open_: DataFrame) -> DataFrame:
     return open_.groupBy(*KEY).agg(s.alias("s")).select(*KEY, *(F.col(f"s.{c}").alias(c) for c in ("i", "low", "high", "pivot", "rank")))
 
 
-def _pivots(proposals: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The weighted lower median of ``(proposal, weight)`` of each group and percentile."""
-    by = Window.partitionBy(*KEY, "i")
-    run = by.orderBy("proposal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = proposals.withColumn("seen", F.sum("weight").over(run)).withColumn("all", F.sum("weight").over(by))
-    return seen.where("2 * seen >= all").groupBy(*KEY, "i", *keep).agg(F.min("proposal").alias("pivot"))
+def _weighted_median(proposals: Column) -> Column:
+    """The weighted lower median of an array of ``(value, weight)`` structs, as many as there are tasks at most."""
+    there = F.array_sort(F.filter(proposals, lambda x: x["weight"] > 0))
+    whole = F.aggregate(proposals, F.lit(0).cast("long"), lambda a, x: a + x["weight"])
+    begin = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"), whole.alias("whole"))
+    step = lambda a, x: F.struct((a["seen"] + x["weight"]).alias("seen"), F.coalesce(a["value"], F.when(2 * (a["seen"] + x["weight"]) >= a["whole"], x["value"])).alias("value"), a["whole"].alias("whole"))
+    return F.aggregate(there, begin, step)["value"]
 
 
 def select_percentiles(runs: DataFrame, permille: Sequence[int]) -> DataFrame:
@@ -198,20 +217,19 @@ def select_percentiles(runs: DataFrame, permille: Sequence[int]) -> DataFrame:
         if open_.isEmpty():
             break
         told = _counted(runs, _gathered(open_), groups)
-        totals = Window.partitionBy(*KEY, "i")
-        sums = _matched(told, open_.select(*KEY, "i", "rank", "low", "high", "pivot"), groups, (*KEY, "i"))
-        sums = sums.withColumns({"b": F.sum("below").over(totals), "e": F.sum("at").over(totals), "m": F.sum("above").over(totals)})
+        proposed = lambda value, weight: F.collect_list(F.struct(F.col(value).alias("value"), F.col(weight).alias("weight")))
+        sums = told.groupBy(*KEY, "i").agg(F.sum("below").alias("b"), F.sum("at").alias("e"), F.sum("above").alias("m"), proposed("low_median", "below").alias("lows"), proposed("high_median", "above").alias("highs"))
+        sums = _matched(sums, open_.select(*KEY, "i", "rank", "low", "high", "pivot"), groups, (*KEY, "i"))
         side = F.when(F.col("rank") <= F.col("b"), -1).when(F.col("rank") <= F.col("b") + F.col("e"), 0).otherwise(1)
-        sums = sums.withColumn("side", side)
-        after = sums.select(
-            *KEY, "i", F.when(F.col("side") == 1, F.col("rank") - F.col("b") - F.col("e")).otherwise(F.col("rank")).alias("rank"),
-            F.when(F.col("side") == -1, F.col("b")).when(F.col("side") == 1, F.col("m")).otherwise(F.col("e")).alias("remaining"),
-            F.when(F.col("side") == 1, F.col("pivot")).otherwise(F.col("low")).alias("low"), F.when(F.col("side") == -1, F.col("pivot")).otherwise(F.col("high")).alias("high"),
-            F.when(F.col("side") == 0, F.col("pivot")).alias("found"),
-            F.when(F.col("side") == -1, F.col("low_median")).when(F.col("side") == 1, F.col("high_median")).otherwise(F.col("pivot")).alias("proposal"),
-            F.when(F.col("side") == -1, F.col("below")).when(F.col("side") == 1, F.col("above")).otherwise(F.lit(1)).alias("weight"),
+        state = stage(
+            sums.withColumn("side", side).select(
+                *KEY, "i", F.when(F.col("side") == 1, F.col("rank") - F.col("b") - F.col("e")).otherwise(F.col("rank")).alias("rank"),
+                F.when(F.col("side") == -1, F.col("b")).when(F.col("side") == 1, F.col("m")).otherwise(F.col("e")).alias("remaining"),
+                F.when(F.col("side") == 1, F.col("pivot")).otherwise(F.col("low")).alias("low"), F.when(F.col("side") == -1, F.col("pivot")).otherwise(F.col("high")).alias("high"),
+                F.when(F.col("side") == 0, F.col("pivot")).otherwise(_weighted_median(F.when(F.col("side") == -1, F.col("lows")).otherwise(F.col("highs")))).alias("pivot"), F.when(F.col("side") == 0, F.col("pivot")).alias("found"),
+            ),
+            "state",
         )
-        state = stage(_pivots(after.where("weight > 0"), ["rank", "remaining", "low", "high", "found"]), "state")
         rounds += 1
         if rounds % SHRINK_EVERY == 0:
             # percentiles that are to be ranked keep their values too
