@@ -30,7 +30,7 @@ WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 NONE = np.int32(2**31 - 1)
 BLOCK = 500
 #: Words whose ids a task keeps.
-CACHED = 200_000
+CACHED = 20_000
 #: Symbols that one step's trees hold at most, but for a single longer word.
 STEP_SYMBOLS = 1 << 19
 
