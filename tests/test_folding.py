@@ -40,3 +40,14 @@ def test_code_points_round_trip():
     assert to_texts(*to_codes(texts)) == texts
     assert to_codes([])[1].tolist() == [0]
     assert len(likeness([], [])) == 0 and isinstance(likeness(["a"], ["a"]), np.ndarray)
+
+
+def test_canonical_inputs():
+    from veldrin.functions.canonical import signature
+
+    same = [("noul", '{"b": 1.0, "a": ["x  y"]}', "q?", None), (" Noul", '{ "a": ["x\\ty "], "b": 1}', " q? ", None)]
+    assert len({signature(*s) for s in same}) == 1
+    other = [("noul", '{"b": true, "a": ["x y"]}', "q?", None), ("noul", "b a x y", "q?", None), ("noul", '"b a x y"', "q?", None), ("noul", same[0][1], None, None), ("noul", same[0][1], "q?", '{"a": 1}')]
+    assert len({signature(*s) for s in [same[0], *other]}) == 6
+    assert signature("noul", "ＡＢ　c", "", "[1, 2]") == signature("noul", "AB c", "", "[1,2]") != signature("noul", "AB c", "", "[2, 1]")
+    assert signature(None, "x", "", "") is None is signature("noul", None, "", "") and signature("noul", '{"a ": 1, "a": 2}', "", "") is None
