@@ -63,6 +63,16 @@ def test_intervals_against_brute_force(spark):
     assert got == want and len(got) == A.overlapping_intervals(df, df, "key", 8).count()
     most = {(r["key"], r["cell"]): r["most"] for r in A.most_at_once(df, "key", 1000).collect()}
     assert most == {("a", 0): 3, ("b", 0): 1, (None, 0): 1}
+    longer = [*rows, ("a", 22, 7, 400), ("c", 23, 30, 40), ("c", 24, 90, 91), ("c", 25, 91, 95)]
+    for width in (3, 10, 64):
+        want = {}
+        for key, _, start, end in longer:
+            for t in range(start, end):
+                at = sum(k == key and a <= t < b for k, _, a, b in longer)
+                want[key, t // width] = max(want.get((key, t // width), 0), at)
+        got = A.most_at_once(spark.createDataFrame(longer, df.schema).repartition(5), "key", width).collect()
+        assert {(r["key"], r["cell"]): r["most"] for r in got} == want and len(got) == len(want)
+    assert A.most_at_once(df.limit(0), "key", 10).count() == 0
 
 
 def test_arranging(spark):
@@ -78,6 +88,14 @@ def test_arranging(spark):
     robin = A.round_robin(spark.range(10).select(F.lit("s").alias("s"), "id", F.lit(4).alias("n")), ["s"], "id", "n")
     b = audits.balance(robin, ["s"], "position", "n").first()
     assert b["largest"] - b["smallest"] == 1
+    hot = [("s" if i % 3 else None, f"{i:04d}", 3 + (i % 7 == 0), "kept") for i in range(600)]
+    turns = A.round_robin(spark.createDataFrame(hot, "s string, id string, n int, other string").repartition(8), ["s"], "id", "n")
+    places, want = {}, set()
+    for k, i, n, other in hot:
+        places[k, n] = places.get((k, n), -1) + 1
+        want.add((k, i, n, other, places[k, n] % n))
+    assert {tuple(r) for r in turns.collect()} == want and turns.count() == len(hot)
+    assert A.round_robin(turns.drop("position").limit(0), ["s"], "id", "n").count() == 0
     doubled = A.with_reversed(spark.createDataFrame([("1", ["a", "b"], "choice"), ("2", ["c"], "noul")], "id string, keys array<string>, kind string"), "id", "keys", F.col("kind") == "choice")
     assert {(r["id"], tuple(r["keys"])) for r in doubled.collect()} == {("1", ("a", "b")), ("2", ("c",)), ("1_reverse", ("b", "a"))}
 

@@ -614,8 +614,8 @@ def label_count_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median times of each engine against one of them."""
     medians = metrics.exact_percentiles(answers(spark, sf_dir).where("wall_ms > 0"), ["engine"], "wall_ms", [0.5])
-    base = medians.where("engine = 'native_q4'").select(F.col("engine").alias("base"), F.col("percentile").alias("of"))
-    return medians.join(F.broadcast(base)).select("engine", "base", F.round(F.col("percentile") / F.col("of"), 6).alias("ratio"))
+    base = F.max(F.when(F.col("engine") == "native_q4", F.col("percentile"))).over(Window.partitionBy(F.lit(0)))  # one row for each engine
+    return medians.withColumn("of", base).where("of IS NOT NULL").select("engine", F.lit("native_q4").alias("base"), F.round(F.col("percentile") / F.col("of"), 6).alias("ratio"))
 
 
 @query(f"""

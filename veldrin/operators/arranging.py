@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 
 def seeded(id_col: str, seed: str) -> Column:
     """A key that puts rows in an order which depends only on ids and seed."""
@@ -31,9 +33,22 @@ def extremes(df: DataFrame, by: str, size: Column, id_col: str) -> DataFrame:
 
 
 def round_robin(df: DataFrame, by: Sequence[str], id_col: str, count: str) -> DataFrame:
-    """A target position from 0 to ``count`` - 1 for each row, in turn within its stratum."""
-    w = Window.partitionBy(*by, count).orderBy(id_col)
-    return df.withColumn("position", ((F.row_number().over(w) - 1) % F.col(count)).cast("int"))
+    """A target position from 0 to ``count`` - 1 for each row, in turn by id within its stratum; rows without a count have none.
+
+    Rows are laid out in ranges of strata and ids, so that a large stratum takes many tasks: places are counted within
+    a range and moved on by the sizes of the ranges before it.
+    """
+    keys = [*by, count]
+    ranges = stage(df.repartitionByRange(*keys, id_col).withColumn("_range", F.spark_partition_id()), "round-robin")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    sizes = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_r"), "_before")
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(id_col)) - 1
+    laid = ranges.withColumn("_place", place).join(sizes, on)
+    return laid.select(*df.columns, ((F.col("_before") + F.col("_place")) % F.col(count)).cast("int").alias("position"))
 
 
 def with_reversed(df: DataFrame, id_col: str, array: str, only: Column) -> DataFrame:
@@ -74,13 +89,21 @@ def overlapping_intervals(left: DataFrame, right: DataFrame, key: str, width: in
 
 
 def most_at_once(intervals: DataFrame, key: str, width: int) -> DataFrame:
-    """``(key, cell, most)``: the most half-open intervals ``[start, end)`` that hold together in each cell of ``width``.
+    """``(key, cell, most)``: the most half-open intervals ``[start, end)`` that hold together in each cell of ``width``
+    in which one holds at all.
 
-    Intervals are cut at the cells' edges, so that a window of running sums covers one cell of one key only.
+    An interval gives one row where it starts and one where it ends, however long it is. Running sums cover one cell of
+    one key; what holds when a cell begins comes from the sums of the cells before it, of which there are few.
     """
-    first, last = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
-    cut = intervals.where("start < end").select(key, "start", "end", F.explode(F.sequence(first, last)).alias("cell"))
-    begin, end = F.greatest("start", F.col("cell") * width), F.least("end", (F.col("cell") + 1) * width)
-    steps = cut.select(key, "cell", F.explode(F.array(F.struct(begin.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("s")).select(key, "cell", "s.t", "s.d")
-    w = Window.partitionBy(key, "cell").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("running", F.sum("d").over(w)).groupBy(key, "cell").agg(F.max("running").alias("most"))
+    step = lambda cell, t, d: F.struct(F.floor(cell / width).alias("cell"), t.alias("t"), F.lit(d).alias("d"))
+    start, end = F.col("start"), F.col("end")
+    steps = intervals.where("start < end").select(key, F.explode(F.array(step(start, start, 1), step(end - 1, end, -1))).alias("s")).groupBy(key, "s.cell", "s.t").agg(F.sum("s.d").alias("d"))
+    within = Window.partitionBy(key, "cell").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = steps.withColumn("running", F.sum("d").over(within)).groupBy(key, "cell").agg(F.greatest(F.max("running"), F.lit(0)).alias("peak"), F.sum("d").alias("net"))
+    in_order = Window.partitionBy(key).orderBy("cell")
+    base = F.coalesce(F.sum("net").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = cells.withColumns({"base": base, "next": F.lead("cell").over(in_order)})
+    after = (F.col("base") + F.col("net")).alias("most")
+    between = F.when((after > 0) & (F.col("next") > F.col("cell") + 1), F.transform(F.sequence(F.col("cell") + 1, F.col("next") - 1), lambda c: F.struct(c.alias("cell"), after)))
+    own = F.array(F.struct("cell", (F.col("base") + F.col("peak")).alias("most")))
+    return known.select(key, F.explode(F.concat(own, F.coalesce(between, F.array().cast("array<struct<cell:bigint,most:bigint>>")))).alias("c")).select(key, "c.cell", "c.most")

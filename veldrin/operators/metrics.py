@@ -63,8 +63,8 @@ def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Se
     """``(by, share, n, percentile)``: exact percentiles with linear interpolation between neighbours.
 
     A sketch brackets the two neighbours' values, the values in the bracket are ranked, and those below it only
-    counted, so that no task holds a whole group. Where a bracket misses (the sketch errs by more than it says) the
-    percentile would be null; the bracket is two of the sketch's errors wide on each side.
+    counted, so that no task holds a whole group. The bracket is four of the sketch's errors wide on each side; should it
+    miss all the same, the query fails rather than give a wrong value.
     """
     v = F.col(value).cast("double")
     rows = rows.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
@@ -87,7 +87,8 @@ def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Se
     above = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
     found = near.withColumn("upto", upto).groupBy(*keys).agg(above(F.floor(place)).alias("lo"), above(F.ceil(place)).alias("hi"))
     rest = place - F.floor(place)
-    return found.select(*by, "share", "n", (F.col("lo") * (1 - rest) + F.col("hi") * rest).alias("percentile"))
+    value = F.coalesce(F.col("lo") * (1 - rest) + F.col("hi") * rest, F.raise_error(F.lit("a percentile lies outside of its bracket")).cast("double"))
+    return found.select(*by, "share", "n", value.alias("percentile"))
 
 
 def order_audit(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
