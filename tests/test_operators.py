@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import types as T
 
 from veldrin.operators import arranging as A
 from veldrin.functions import strict_json
-from veldrin.operators import audits
+from veldrin.operators import audits, summaries
 from veldrin.operators.shred import children, entities, entity_table, json_nodes, shred
 from veldrin.sources import exports, jsonl
 from veldrin.streaming import progress
@@ -209,3 +210,33 @@ def test_the_reader_with_a_stack_reads_what_the_library_does():
         want = json.loads(t)
         assert strict_json._stacked(t, dict, json.loads) == want == strict_json.read(t, dict, json.loads)
         assert strict_json.sorted_text(want) == json.dumps(want, sort_keys=True, ensure_ascii=False)
+
+
+def test_guarded_writes(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, "あ"), (2, None, None)], "i int, x double, t string")
+    exports.write_json(df, f"{tmp_path}/a")
+    exports.write_json(df, f"{tmp_path}/a")
+    assert sorted(r["i"] for r in spark.read.json(f"{tmp_path}/a").collect()) == [1, 2]
+    with pytest.raises(Exception, match="finite"):
+        exports.attempted(spark, f"{tmp_path}/b", lambda: exports.write_json(df.withColumn("x", F.lit(float("nan"))), f"{tmp_path}/b/rows"))
+    assert "finite" in json.loads(spark.read.text(f"{tmp_path}/b/failure").first()[0])["message"]
+    exports.export(df, f"{tmp_path}/c", ["i", "t"])
+    listed = {r["path"]: r["sha256"] for r in exports.manifest(spark, f"{tmp_path}/c").collect()}
+    assert {p.split("/")[0] for p in listed} == {"jsonl", "csv"}
+    assert all(hashlib.sha256((tmp_path / "c" / p).read_bytes()).hexdigest() == h for p, h in listed.items())
+
+
+def test_summaries(spark):
+    rows = spark.createDataFrame([("a", ["x", "y"], [1.0]), ("b", [], []), ("c", None, None)], "i string, k array<string>, z array<double>")
+    assert {tuple(r) for r in summaries.positional(rows, ["i"], key="k", logit="z").collect()} == {("a", 0, "x", 1.0), ("a", 1, "y", None)}
+    kinds = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "k string")
+    assert {tuple(r) for r in summaries.unexpected_counts(kinds, "k", {"a": 2, "b": 2, "c": 1}).collect()} == {(None, 1, 0), ("b", 1, 2), ("c", 0, 1)}
+    one = spark.range(1).select(summaries.order_free(F.array(F.lit("q"), F.lit("p"), F.lit(None), F.lit("q"))).alias("a"), summaries.order_free(F.array(F.lit("p"), F.lit("q"))).alias("b")).first()
+    assert one["a"] == one["b"]
+    new = spark.createDataFrame([("1", "s", "g"), ("2", "s", "g"), ("3", "t", "g"), ("4", "u", None), ("5", None, "g")], "i string, key string, g string")
+    got = summaries.balanced_new(new, spark.createDataFrame([("t",), (None,)], "key string"), "key", "i", ["g"], 2, "s")
+    assert {r["i"] for r in got.collect()} == {"1", "4"}
+    shapes = spark.createDataFrame([("a" * 40,), ("a" * 64,), ("A" * 40,), (None,)], "t string").select(summaries.is_commit(F.col("t")), summaries.is_sha256(F.col("t")))
+    assert [tuple(r) for r in shapes.collect()] == [(True, False), (False, True), (False, False), (False, False)]
+    empty = spark.createDataFrame([], "engine string, valid boolean, correct boolean, error string, wall_ms double, input_tokens int, output_tokens int, reverse struct<same_label boolean>")
+    assert summaries.run_summary(empty, [["engine"]]).count() == 0
