@@ -272,10 +272,9 @@ def thresholds(odds: DataFrame) -> DataFrame:
         at = F.array_min(smooth)["b"]
         return sums.select(*by, f"{name}_n", (LOWEST + BIN * (-at - F.lit(0.5))).alias(name))
 
-    of_all = lowest([], "all_texts")
-    by_language = lowest(["lang"], "language").crossJoin(F.broadcast(of_all))  # one row
+    of_all = lowest([], "all_texts").first()["all_texts"]  # one number
     n = F.col("language_n")
-    by_language = by_language.select("lang", ((n * F.col("language") + WEIGHT_OF_ALL * F.col("all_texts")) / (n + WEIGHT_OF_ALL)).alias("language"))
+    by_language = lowest(["lang"], "language").select("lang", ((n * F.col("language") + WEIGHT_OF_ALL * of_all) / (n + WEIGHT_OF_ALL)).alias("language"))
     n = F.col("own_n")
     joined = lowest(["lang", "source"], "own").join(by_language, "lang")
     return joined.select("lang", "source", ((n * F.col("own") + WEIGHT_OF_LANGUAGE * F.col("language")) / (n + WEIGHT_OF_LANGUAGE)).alias("threshold"))
