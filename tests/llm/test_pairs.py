@@ -223,6 +223,30 @@ def test_matches_lose_no_pair_that_is_alike():
     assert got == {(i, j) for i, s in enumerate(left) for j, t in enumerate(right) if len(s) > 2 and len(t) > 2 and like(s, t) >= 0.6} and len(got) > 100
 
 
+def test_pieces_come_by_first_place_whatever_the_alphabet():
+    rng = random.Random(6)
+    many = "".join(chr(0x10000 + i) for i in range(140_000))  # with 600 texts, no piece and text fit into one number
+    for texts in (["ab", "", "ababab", "aaaa", "漢字漢字漢字"], [many] + ["".join(rng.choice("ab𠀀") for _ in range(9)) for _ in range(600)]):
+        row, place, _, starts = over.distinct_pieces(texts)
+        want = [(i, starts[i] + k) for i, t in enumerate(texts) for k in range(len(t) - 2) if t.find(t[k : k + 3]) == k]
+        assert list(zip(row.tolist(), place.tolist())) == want
+
+
+def test_a_first_look_rules_out_unrelated_texts():
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(rng.randrange(150, 200))) for _ in range(60)]
+    texts += [t[:20] + "変" + t[21:] for t in texts]
+    row, place, codes, _ = over.distinct_pieces(texts)
+    look = over.coarse(over.parities(row, place, codes, len(texts)))
+    passed = 0
+    for i, t in enumerate(texts[:60]):
+        for j, u in enumerate(texts):
+            differ, apart = int(np.bitwise_count(look[i] ^ look[j]).sum()), len(pieces(t) ^ pieces(u))
+            assert differ <= apart and (j % 60 != i or differ <= 6)
+            passed += j % 60 != i and differ <= (len(t) + len(u)) / 4
+    assert passed < 0.02 * 60 * 118
+
+
 def test_shards_give_the_same(df, monkeypatch):
     whole = sorted(map(str, over.overlapping(df).collect()))
     monkeypatch.setattr(over, "SHARD_CHARACTERS", 700)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold, fold_codes, likeness, mix, piece_keys, pieces, sorted_unique, to_codes, to_texts
+from ..functions.folding import fold, fold_codes, likeness, mix, sorted_unique, to_codes, to_texts
 from ..functions.strict_json import read, sorted_text
 from ..plans.staging import stage
 from .near_duplicates import one_head, staged_records, text_hash
@@ -38,45 +38,72 @@ BLOCK = 2000
 REMEMBERED = 500_000
 #: Characters of evaluation texts in a shard, training texts that are sent to one copy of it, and those searched for together.
 SHARD_CHARACTERS, SHARD_QUERIES, STREAM = 4_000_000, 50_000, 4000
-#: Bits of the parity of a text's pieces.
-PARITY_BITS = 1024
+#: Bits of the parity of a text's pieces, and what they are folded to for a first look.
+PARITY_BITS, COARSE_BITS = 1024, 256
 #: Suffixes are ordered by so many characters: a match is found by three and told apart by the one before.
 DEPTH = 4
 #: Places of the index that are looked at together.
-LOOKED = 2_000_000
+LOOKED = 500_000
 
 _U = np.uint64
 
 
+def ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of at most ``bits`` bits in order, and where each was; equal ones in the order of places.
+
+    Where a value and its place fit into one number, these are sorted, which is many times faster than sorting places.
+    """
+    place_bits = len(values).bit_length()
+    if bits + place_bits < 64:
+        packed = np.sort(values << place_bits | np.arange(len(values)))
+        return packed >> place_bits, packed & ((1 << place_bits) - 1)
+    order = np.argsort(values, kind="stable")
+    return values[order], order
+
+
+def numbered(in_order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value begins among values in order, and which of the distinct ones each value is."""
+    new = np.ones(len(in_order), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def numbered_codes(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """For each code point its number among those that occur, from 1 on, or 0; and how many occur."""
+    there = np.zeros(0x110000, bool)
+    there[codes] = True
+    numbers = np.cumsum(there, dtype=np.int32)
+    return numbers * there, int(numbers[-1])
+
+
 class TextIndex:
     """A compressed full-text index of texts given as code points: a wavelet matrix over their transform, with ranks by
     64-bit words. ``order`` are the places of its rows."""
 
     def __init__(self, codes: np.ndarray, starts: np.ndarray):
         texts = len(starts) - 1
-        self.known, found = np.unique(codes, return_inverse=True)
+        self.numbers, known = numbered_codes(codes)
         n = len(codes) + texts
         row = np.repeat(np.arange(texts), np.diff(starts))
         symbol = np.zeros(n, np.int64)  # 0 ends each text
-        symbol[np.arange(len(codes)) + row] = found + 1
-        self.levels = max(int(len(self.known)).bit_length(), 1)
-        width = min(62 // self.levels, DEPTH)
-        key = symbol.copy()
-        for k in range(1, width):
-            key <<= self.levels
-            key[: max(n - k, 0)] |= symbol[k:]
-        order = np.argsort(key, kind="stable")
-        while width < DEPTH:  # so many symbols that they don't fit into one key
-            in_order = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
-            key = rank * (n + 1)
-            key[: max(n - width, 0)] += rank[width:] + 1
-            order = np.argsort(key, kind="stable")
+        symbol[np.arange(len(codes)) + row] = self.numbers[codes]
+        del row
+        self.levels = max(known.bit_length(), 1)
+        rank, bits, width = symbol, self.levels, 1
+        while True:  # ordered by twice as many symbols each time
+            key = rank << bits
+            key[: max(n - width, 0)] |= rank[width:]
+            key, order = ranked(key, 2 * bits)
             width *= 2
+            if width >= DEPTH:
+                break
+            begins, number = numbered(key)
+            rank, bits = np.empty(n, np.int64), max(len(begins).bit_length(), 1)
+            rank[order] = number
+        del key, rank
         self.order, self.n = order, n
-        self.begins = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=len(self.known) + 1))])
-        left = symbol[order - 1]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=known + 1))])
+        left = symbol.astype(np.uint16 if self.levels <= 16 else np.uint32)[order - 1]
         self.words, self.ones, self.zeros = [], [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (left >> level & 1).astype(bool)
@@ -85,7 +112,7 @@ class TextIndex:
             self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32))
             self.zeros.append(int(n - bit.sum()))
             left = np.concatenate([left[~bit], left[bit]])
-        every = np.arange(len(self.known) + 1)
+        every = np.arange(known + 1)
         self.offset = self.begins[:-1] - self._walk(every, np.zeros(len(every), np.int64))
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -97,10 +124,7 @@ class TextIndex:
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         """Symbol of each character, 0 where no text has it."""
-        if not len(self.known):
-            return np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        return np.where(self.known[at] == codes, at + 1, 0)
+        return self.numbers[codes].astype(np.int64)
 
     def whole(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that begin with each symbol, none for the symbol that no text has."""
@@ -117,24 +141,28 @@ def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Text and first place of each distinct piece of three characters, in the order of places, and the code points and
     starts of the texts. Texts of less than three characters are like no other and have none."""
     codes, starts = to_codes(texts)
+    numbers, known = numbered_codes(codes)
+    symbol, bits = numbers[codes].astype(np.int64), known.bit_length()
+    three = np.zeros(len(codes), np.int64)
+    three[:-2] = symbol[:-2] << 2 * bits | symbol[1:-1] << bits | symbol[2:]
     rows, places = [], []
     for at in range(0, len(texts), BLOCK):
-        end = min(at + BLOCK, len(texts))
-        own, first = codes[starts[at] : starts[end]], starts[at : end + 1] - starts[at]
-        packed, row = pieces(own, first)
-        long = np.diff(first) >= 3
-        kept = long[row]
-        packed, row = packed[kept], row[kept]
-        counts = np.maximum(np.diff(first) - 2, 0)
-        place = ragged(first[:-1] + starts[at], counts)
-        key = row.astype(_U) << _U(50) | mix(packed) >> _U(14)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        chosen = np.sort(order[new])
-        rows.append(row[chosen] + at)
-        places.append(place[chosen])
+        first = starts[at : min(at + BLOCK, len(texts)) + 1]
+        lengths = np.diff(first)
+        counts = np.maximum(lengths - 2, 0)
+        row, place = np.repeat(np.arange(len(lengths)), counts), ragged(first[:-1], counts)
+        used = 3 * bits + len(lengths).bit_length()
+        if used < 64:
+            key, order = ranked(row << 3 * bits | three[place], used)
+        else:  # more code points than fit with the row
+            key = row.astype(_U) << _U(50) | mix(three[place].astype(_U)) >> _U(14)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        there = np.zeros(first[-1] - first[0], bool)
+        there[place[order[numbered(key)[0]]] - first[0]] = True
+        chosen = np.flatnonzero(there)
+        rows.append(np.repeat(np.arange(at, at + len(lengths)), lengths)[chosen])
+        places.append(chosen + first[0])
     empty = np.zeros(0, np.int64)
     return np.concatenate([empty, *rows]), np.concatenate([empty, *places]), codes, starts
 
@@ -151,20 +179,29 @@ class Rare(NamedTuple):
 
 def rarest(index: TextIndex, row: np.ndarray, place: np.ndarray, symbol: np.ndarray, size: np.ndarray, threshold: float) -> Rare:
     """The rarest pieces of each text, by backward search for all of them; those that the shard hasn't are the rarest."""
-    three, at = np.unique((symbol[place] << 42) | (symbol[place + 1] << 21) | symbol[place + 2], return_inverse=True)
-    low, high = index.whole(three & 0x1FFFFF)
-    for shift in (21, 42):
-        low, high = index.step(three >> shift & 0x1FFFFF, low, high)
-    key = row << 32 | (high - low)[at]
+    bits = index.levels
+    three, order = ranked(symbol[place] << 2 * bits | symbol[place + 1] << bits | symbol[place + 2], 3 * bits)
+    begins, number = numbered(three)
+    three, at = three[begins], np.empty(len(order), np.int64)
+    at[order] = number
+    last = (1 << bits) - 1
+    low, high = index.whole(three & last)
+    for shift in (bits, 2 * bits):
+        low, high = index.step(three >> shift & last, low, high)
+    count_bits = index.n.bit_length()
+    in_order, order = ranked(row << count_bits | (high - low)[at], len(size).bit_length() + count_bits)
     may_lack = size - np.ceil(threshold * size - 1e-6).astype(np.int64)
     begin = np.cumsum(size) - size
-    in_order = np.sort(key)
     has = np.flatnonzero(size)
     most = np.zeros(len(size), np.int64)
     most[has] = in_order[(begin + may_lack)[has]]
-    rare = np.flatnonzero((key <= most[row]) & ((key & 0xFFFFFFFF) > 0))
-    rarer = np.searchsorted(in_order, key[rare]) - begin[row[rare]]
-    return Rare(row[rare], place[rare], low[at[rare]], high[at[rare]], rarer)
+    begins, number = numbered(in_order)
+    of = in_order >> count_bits
+    chosen = np.flatnonzero((in_order <= most[of]) & ((in_order & ((1 << count_bits) - 1)) > 0))
+    rarer = np.full(len(row), -1)
+    rarer[order[chosen]] = begins[number[chosen]] - begin[of[chosen]]
+    rare = np.flatnonzero(rarer >= 0)
+    return Rare(row[rare], place[rare], low[at[rare]], high[at[rare]], rarer[rare])
 
 
 def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> np.ndarray:
@@ -182,18 +219,28 @@ def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> np.ndar
     return np.flatnonzero(~joined)
 
 
-def parities(texts: list[str]) -> np.ndarray:
-    """Bits of the parity of each text's pieces: texts differ in as many pieces as bits at least."""
+def parities(row: np.ndarray, place: np.ndarray, codes: np.ndarray, texts: int) -> np.ndarray:
+    """Bits of the parity of each text's pieces, given by their text and first place: texts differ in as many pieces as
+    bits at least, and folding the bits keeps that."""
+    bit = np.empty(len(place), np.int64)
+    for at in range(0, len(place), LOOKED):
+        p = place[at : at + LOOKED]
+        one, two, three = (codes[p + k].astype(_U) for k in range(3))
+        bit[at : at + LOOKED] = mix(one << _U(42) | two << _U(21) | three) >> _U(14) & _U(PARITY_BITS - 1)
     out = [np.zeros((0, PARITY_BITS // 64), _U)]
-    for at in range(0, len(texts), BLOCK):
-        block = texts[at : at + BLOCK]
-        keys = piece_keys(*pieces(*to_codes(block)))
-        bit = (keys >> _U(50)).astype(np.int64) * PARITY_BITS + (keys & _U(PARITY_BITS - 1)).astype(np.int64)
-        odd = np.bincount(bit, minlength=len(block) * PARITY_BITS) & 1
-        out.append(np.packbits(odd.astype(bool).reshape(len(block), PARITY_BITS), axis=1).view(_U))
+    for at in range(0, texts, BLOCK // 4):
+        n = min(BLOCK // 4, texts - at)
+        begin, end = np.searchsorted(row, [at, at + n])
+        odd = np.bincount((row[begin:end] - at) * PARITY_BITS + bit[begin:end], minlength=n * PARITY_BITS) & 1
+        out.append(np.packbits(odd.astype(bool).reshape(n, PARITY_BITS), axis=1).view(_U))
     return np.concatenate(out)
 
 
+def coarse(parity: np.ndarray) -> np.ndarray:
+    """Parities folded to fewer bits, in which unrelated texts of a few hundred pieces still differ too much."""
+    return np.bitwise_xor.reduce(parity.reshape(len(parity), -1, COARSE_BITS // 64), axis=1)
+
+
 class Shard:
     """Evaluation texts with their index; for the rows of each piece, the texts of which it is a rare piece, by size."""
 
@@ -201,13 +248,18 @@ class Shard:
         row, place, codes, starts = distinct_pieces(texts)
         self.texts, self.threshold, self.share = texts, threshold, threshold / (1 + threshold)
         self.size = np.bincount(row, minlength=len(texts))
+        self.parity = parities(row, place, codes, len(texts))
+        self.coarse = coarse(self.parity)
         self.index = TextIndex(codes, starts)
         rare = rarest(self.index, row, place, self.index.symbols(codes), self.size, threshold)
-        key = rare.low << 31 | self.size[rare.row]
-        order = np.argsort(key)
-        self.keys, self.of, self.rarer = key[order], rare.row[order].astype(np.int32), rare.rarer[order].astype(np.int32)
-        self.parity = parities(texts)
-        del self.index.order
+        del row, place, self.index.order
+        #: Sizes have so many bits in the keys that one number is above them all.
+        self.bits = int(self.size.max(initial=0) + 1).bit_length()
+        size = self.size[rare.row]
+        self.keys, order = ranked(rare.low << self.bits | size, self.index.n.bit_length() + self.bits)
+        self.of = rare.row[order].astype(np.int32)
+        #: How large a training text may be for each posting, since rarer pieces of the evaluation text aren't common.
+        self.most = np.floor((size - rare.rarer + 1e-6) / self.share - size + 1e-6)[order].astype(np.int32)
 
     def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Training and evaluation texts that are alike enough.
@@ -217,23 +269,17 @@ class Shard:
         """
         row, place, codes, _ = distinct_pieces(texts)
         size, symbol = np.bincount(row, minlength=len(texts)), self.index.symbols(codes)
+        own = parities(row, place, codes, len(texts))
         rare = rarest(self.index, row, place, symbol, size, self.threshold)
         match = maximal_matches(self.index, rare, symbol)
         of, rarer, m = rare.row[match], rare.rarer[match], size[rare.row[match]]
         least, most = np.ceil(self.threshold * m - 1e-6).astype(np.int64), np.floor((m - rarer) / self.share - m + 1e-6).astype(np.int64)
-        low = np.searchsorted(self.keys, rare.low[match] << 31 | least)
-        high = np.searchsorted(self.keys, rare.low[match] << 31 | np.maximum(most, 0), "right")
-        a, b = self.merged(of, size, low, np.maximum(high, low))
-        own, found = parities(texts), []
-        differ_at_most = lambda x, y: size[x] + self.size[y] - 2 * np.ceil(self.share * (size[x] + self.size[y]) - 1e-6)
-        for at in range(0, len(a), LOOKED // 16):
-            x, y = a[at : at + LOOKED // 16], b[at : at + LOOKED // 16]
-            differ = np.bitwise_count(own[x, :4] ^ self.parity[y, :4]).sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero(differ <= differ_at_most(x, y))
-            differ = differ[near] + np.bitwise_count(own[x[near], 4:] ^ self.parity[y[near], 4:]).sum(axis=1, dtype=np.int64)
-            found.append(at + near[differ <= differ_at_most(x[near], y[near])])
-        left = np.concatenate([np.zeros(0, np.int64), *found])
-        a, b = a[left], b[left]
+        _, order = ranked(rare.low[match], self.index.n.bit_length())  # keys that are near each other are looked up together
+        piece, top = rare.low[match][order] << self.bits, (1 << self.bits) - 1
+        low, high = np.empty(len(match), np.int64), np.empty(len(match), np.int64)
+        low[order] = np.searchsorted(self.keys, piece | np.minimum(least[order], top))
+        high[order] = np.searchsorted(self.keys, piece | np.clip(most[order], 0, top), "right")
+        a, b = self.near(own, size, *self.merged(of, size, low, np.maximum(high, low)))
         alike = np.zeros(len(a), bool)
         for at in range(0, len(a), BLOCK):
             x, y = a[at : at + BLOCK], b[at : at + BLOCK]
@@ -247,14 +293,27 @@ class Shard:
         while begin < len(of):
             end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + LOOKED, "right")))
             n = (high - low)[begin:end]
-            at, a = ragged(low[begin:end], n), np.repeat(of[begin:end], n)
-            b = self.of[at].astype(np.int64)
-            good = self.size[b] - self.rarer[at] >= np.ceil(self.share * (size[a] + self.size[b]) - 1e-6)
-            pairs.append(sorted_unique(a[good] << 32 | b[good]))
+            at = ragged(low[begin:end], n)
+            good = np.repeat(size[of[begin:end]], n) <= self.most[at]
+            pairs.append(sorted_unique(np.repeat(of[begin:end], n)[good] << 32 | self.of[at[good]]))
             begin = end
         pair = sorted_unique(np.concatenate(pairs))
         return pair >> 32, pair & 0xFFFFFFFF
 
+    def near(self, own: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of texts those whose parities, folded and then whole, differ in no more bits than their pieces may."""
+        total = np.arange(size.max(initial=0) + self.size.max(initial=0) + 1)
+        may_differ = (total - 2 * np.ceil(self.share * total - 1e-6)).astype(np.int64)
+        for x, y in ((coarse(own), self.coarse), (own, self.parity)):
+            left = [np.zeros(0, np.int64)]
+            for at in range(0, len(a), LOOKED // 16):
+                i, j = a[at : at + LOOKED // 16], b[at : at + LOOKED // 16]
+                differ = np.bitwise_count(x.take(i, 0) ^ y.take(j, 0)) @ np.ones(x.shape[1], np.uint16)
+                left.append(at + np.flatnonzero(differ <= may_differ[size[i] + self.size[j]]))
+            left = np.concatenate(left)
+            a, b = a[left], b[left]
+        return a, b
+
 
 def criteria_text(text: str | None) -> str | None:
     """Folded criteria with the keys of objects sorted; None where they are missing."""
