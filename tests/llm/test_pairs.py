@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -247,6 +248,20 @@ def test_a_first_look_rules_out_unrelated_texts():
     assert passed < 0.02 * 60 * 118
 
 
+def test_a_shard_is_built_in_little_memory(monkeypatch):
+    monkeypatch.setattr(over, "STREAM", 500)
+    rng = np.random.default_rng(8)
+    letters = rng.permutation(np.arange(0x4E00, 0x5600))
+    texts = ["".join(map(chr, letters[(rng.random(200) ** 2 * len(letters)).astype(int)])) for _ in range(5000)]
+    tracemalloc.start()
+    try:
+        over.Shard(texts, 0.6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 * 200 * len(texts)  # 8 million characters in each of two tasks of an executor of 3 GB
+
+
 def test_shards_give_the_same(df, monkeypatch):
     whole = sorted(map(str, over.overlapping(df).collect()))
     monkeypatch.setattr(over, "SHARD_CHARACTERS", 700)

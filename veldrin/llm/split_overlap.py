@@ -37,7 +37,7 @@ from .tokens import ragged
 BLOCK = 2000
 REMEMBERED = 500_000
 #: Characters of evaluation texts in a shard, training texts that are sent to one copy of it, and those searched for together.
-SHARD_CHARACTERS, SHARD_QUERIES, STREAM = 4_000_000, 50_000, 4000
+SHARD_CHARACTERS, SHARD_QUERIES, STREAM = 8_000_000, 200_000, 6000
 #: Bits of the parity of a text's pieces, and what they are folded to for a first look.
 PARITY_BITS, COARSE_BITS = 1024, 256
 #: Suffixes are ordered by so many characters: a match is found by three and told apart by the one before.
@@ -55,8 +55,12 @@ def ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """
     place_bits = len(values).bit_length()
     if bits + place_bits < 64:
-        packed = np.sort(values << place_bits | np.arange(len(values)))
-        return packed >> place_bits, packed & ((1 << place_bits) - 1)
+        packed = values << place_bits
+        packed |= np.arange(len(values), dtype=np.uint32)
+        packed.sort()
+        in_order = packed >> place_bits
+        packed &= (1 << place_bits) - 1
+        return in_order, packed
     order = np.argsort(values, kind="stable")
     return values[order], order
 
@@ -65,7 +69,9 @@ def numbered(in_order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct value begins among values in order, and which of the distinct ones each value is."""
     new = np.ones(len(in_order), bool)
     np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
-    return np.flatnonzero(new), np.cumsum(new) - 1
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    return np.flatnonzero(new), number
 
 
 def numbered_codes(codes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -85,25 +91,28 @@ class TextIndex:
         self.numbers, known = numbered_codes(codes)
         n = len(codes) + texts
         row = np.repeat(np.arange(texts), np.diff(starts))
-        symbol = np.zeros(n, np.int64)  # 0 ends each text
+        symbol = np.zeros(n, np.int32)  # 0 ends each text
         symbol[np.arange(len(codes)) + row] = self.numbers[codes]
         del row
         self.levels = max(known.bit_length(), 1)
         rank, bits, width = symbol, self.levels, 1
         while True:  # ordered by twice as many symbols each time
-            key = rank << bits
+            key = rank.astype(np.int64) << bits
             key[: max(n - width, 0)] |= rank[width:]
+            del rank
             key, order = ranked(key, 2 * bits)
             width *= 2
             if width >= DEPTH:
                 break
             begins, number = numbered(key)
-            rank, bits = np.empty(n, np.int64), max(len(begins).bit_length(), 1)
+            rank, bits = np.empty(n, np.int32), max(len(begins).bit_length(), 1)
             rank[order] = number
-        del key, rank
-        self.order, self.n = order, n
+        del key
+        self.order, self.n = order.astype(np.int32), n
+        del order
         self.begins = np.concatenate([[0], np.cumsum(np.bincount(symbol, minlength=known + 1))])
-        left = symbol.astype(np.uint16 if self.levels <= 16 else np.uint32)[order - 1]
+        left = symbol.astype(np.uint16 if self.levels <= 16 else np.uint32)[self.order - 1]
+        del symbol
         self.words, self.ones, self.zeros = [], [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (left >> level & 1).astype(bool)
@@ -124,7 +133,7 @@ class TextIndex:
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         """Symbol of each character, 0 where no text has it."""
-        return self.numbers[codes].astype(np.int64)
+        return self.numbers[codes]
 
     def whole(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that begin with each symbol, none for the symbol that no text has."""
@@ -142,9 +151,11 @@ def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     starts of the texts. Texts of less than three characters are like no other and have none."""
     codes, starts = to_codes(texts)
     numbers, known = numbered_codes(codes)
-    symbol, bits = numbers[codes].astype(np.int64), known.bit_length()
-    three = np.zeros(len(codes), np.int64)
-    three[:-2] = symbol[:-2] << 2 * bits | symbol[1:-1] << bits | symbol[2:]
+    symbol, bits = numbers[codes], known.bit_length()
+    three = symbol.astype(np.int64)
+    for k in (1, 2):
+        three <<= bits
+        three[:-k] |= symbol[k:]
     rows, places = [], []
     for at in range(0, len(texts), BLOCK):
         first = starts[at : min(at + BLOCK, len(texts)) + 1]
@@ -161,9 +172,9 @@ def distinct_pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         there = np.zeros(first[-1] - first[0], bool)
         there[place[order[numbered(key)[0]]] - first[0]] = True
         chosen = np.flatnonzero(there)
-        rows.append(np.repeat(np.arange(at, at + len(lengths)), lengths)[chosen])
-        places.append(chosen + first[0])
-    empty = np.zeros(0, np.int64)
+        rows.append(np.repeat(np.arange(at, at + len(lengths), dtype=np.int32), lengths)[chosen])
+        places.append((chosen + first[0]).astype(np.int32))
+    empty = np.zeros(0, np.int32)
     return np.concatenate([empty, *rows]), np.concatenate([empty, *places]), codes, starts
 
 
@@ -180,16 +191,16 @@ class Rare(NamedTuple):
 def rarest(index: TextIndex, row: np.ndarray, place: np.ndarray, symbol: np.ndarray, size: np.ndarray, threshold: float) -> Rare:
     """The rarest pieces of each text, by backward search for all of them; those that the shard hasn't are the rarest."""
     bits = index.levels
-    three, order = ranked(symbol[place] << 2 * bits | symbol[place + 1] << bits | symbol[place + 2], 3 * bits)
+    three, order = ranked(symbol[place].astype(np.int64) << 2 * bits | symbol[place + 1] << bits | symbol[place + 2], 3 * bits)
     begins, number = numbered(three)
-    three, at = three[begins], np.empty(len(order), np.int64)
+    three, at = three[begins], np.empty(len(order), np.int32)
     at[order] = number
     last = (1 << bits) - 1
     low, high = index.whole(three & last)
     for shift in (bits, 2 * bits):
         low, high = index.step(three >> shift & last, low, high)
     count_bits = index.n.bit_length()
-    in_order, order = ranked(row << count_bits | (high - low)[at], len(size).bit_length() + count_bits)
+    in_order, order = ranked(row.astype(np.int64) << count_bits | (high - low)[at], len(size).bit_length() + count_bits)
     may_lack = size - np.ceil(threshold * size - 1e-6).astype(np.int64)
     begin = np.cumsum(size) - size
     has = np.flatnonzero(size)
@@ -198,7 +209,7 @@ def rarest(index: TextIndex, row: np.ndarray, place: np.ndarray, symbol: np.ndar
     begins, number = numbered(in_order)
     of = in_order >> count_bits
     chosen = np.flatnonzero((in_order <= most[of]) & ((in_order & ((1 << count_bits) - 1)) > 0))
-    rarer = np.full(len(row), -1)
+    rarer = np.full(len(row), -1, np.int32)
     rarer[order[chosen]] = begins[number[chosen]] - begin[of[chosen]]
     rare = np.flatnonzero(rarer >= 0)
     return Rare(row[rare], place[rare], low[at[rare]], high[at[rare]], rarer[rare])
@@ -214,7 +225,7 @@ def maximal_matches(index: TextIndex, rare: Rare, symbol: np.ndarray) -> np.ndar
     joined = np.zeros(len(count), bool)
     joined[1:] = (rare.row[1:] == rare.row[:-1]) & (rare.place[1:] == rare.place[:-1] + 1) & (count[1:] == count[:-1])
     open_ = np.flatnonzero(joined)
-    low, high = index.step(symbol[rare.place[open_] - 1], rare.low[open_], rare.high[open_])
+    low, high = index.step(symbol[rare.place[open_] - 1].astype(np.int64), rare.low[open_], rare.high[open_])
     joined[open_] = high - low == count[open_]
     return np.flatnonzero(~joined)
 
@@ -230,7 +241,7 @@ def parities(row: np.ndarray, place: np.ndarray, codes: np.ndarray, texts: int)
     out = [np.zeros((0, PARITY_BITS // 64), _U)]
     for at in range(0, texts, BLOCK // 4):
         n = min(BLOCK // 4, texts - at)
-        begin, end = np.searchsorted(row, [at, at + n])
+        begin, end = np.searchsorted(row, np.array([at, at + n], row.dtype))
         odd = np.bincount((row[begin:end] - at) * PARITY_BITS + bit[begin:end], minlength=n * PARITY_BITS) & 1
         out.append(np.packbits(odd.astype(bool).reshape(n, PARITY_BITS), axis=1).view(_U))
     return np.concatenate(out)
@@ -251,15 +262,25 @@ class Shard:
         self.parity = parities(row, place, codes, len(texts))
         self.coarse = coarse(self.parity)
         self.index = TextIndex(codes, starts)
-        rare = rarest(self.index, row, place, self.index.symbols(codes), self.size, threshold)
-        del row, place, self.index.order
+        symbol = self.index.symbols(codes)
+        del codes, starts, self.index.order
         #: Sizes have so many bits in the keys that one number is above them all.
         self.bits = int(self.size.max(initial=0) + 1).bit_length()
-        size = self.size[rare.row]
-        self.keys, order = ranked(rare.low << self.bits | size, self.index.n.bit_length() + self.bits)
-        self.of = rare.row[order].astype(np.int32)
-        #: How large a training text may be for each posting, since rarer pieces of the evaluation text aren't common.
-        self.most = np.floor((size - rare.rarer + 1e-6) / self.share - size + 1e-6)[order].astype(np.int32)
+        keys, of, most = [], [], []
+        for at in range(0, len(texts), STREAM):  # in parts, which take less memory
+            begin, end = np.searchsorted(row, np.array([at, at + STREAM], row.dtype))
+            rare = rarest(self.index, row[begin:end] - np.int32(at), place[begin:end], symbol, self.size[at : at + STREAM], threshold)
+            size = self.size[at : at + STREAM][rare.row]
+            keys.append(rare.low << self.bits | size)
+            of.append(rare.row + np.int32(at))
+            # how large a training text may be, since rarer pieces of the evaluation text aren't common
+            most.append(np.floor((size - rare.rarer + 1e-6) / self.share - size + 1e-6).astype(np.int32))
+        del row, place, symbol
+        keys = np.concatenate(keys)
+        self.keys, order = ranked(keys, self.index.n.bit_length() + self.bits)
+        del keys
+        order = order.astype(np.int32)
+        self.of, self.most = np.concatenate(of)[order], np.concatenate(most)[order]
 
     def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Training and evaluation texts that are alike enough.
@@ -295,7 +316,7 @@ class Shard:
             n = (high - low)[begin:end]
             at = ragged(low[begin:end], n)
             good = np.repeat(size[of[begin:end]], n) <= self.most[at]
-            pairs.append(sorted_unique(np.repeat(of[begin:end], n)[good] << 32 | self.of[at[good]]))
+            pairs.append(sorted_unique(np.repeat(of[begin:end].astype(np.int64), n)[good] << 32 | self.of[at[good]]))
             begin = end
         pair = sorted_unique(np.concatenate(pairs))
         return pair >> 32, pair & 0xFFFFFFFF
